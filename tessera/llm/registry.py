@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, license_scan
+from tessera.llm import chat_format, exact_dedup, license_scan, packing, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op7_packing": packing.op7_packing,
+        "op8_url_filter": url_filter.op8_url_filter,
     }
 
 
