@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, table, text_or_empty
 
 CAPACITY = 4096
-PIECE_TOKENS = 1024
+PIECE_TOKENS = 512
 GROUP_WINDOWS = 48
 #: Share of the capacity that windows are filled to on average.
-FILL = 0.997
+FILL = 0.99
 #: Tokens in a bin: what one task packs. It bounds the task's memory.
 BIN_TOKENS = 8_000_000
 END_ID = 2

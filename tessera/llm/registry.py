@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, license_scan, packing, url_filter
+from tessera.llm import chat_format, exact_dedup, language_id, license_scan, packing, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_language_id": language_id.op2_language_id,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_chat_format": chat_format.op4_chat_format,
         "op7_packing": packing.op7_packing,
