@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
+from tessera.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_packing": packing.op7_packing,
         "op8_url_filter": url_filter.op8_url_filter,
