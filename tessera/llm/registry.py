@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
+from tessera.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_packing": packing.op7_packing,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_ngram_jaccard_join": near_dedup.op10_ngram_jaccard_join,
     }
 

@@ -43,8 +43,11 @@ def _spaces(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin (one place more than texts)."""
+def word_hashes(texts: list[bytes], variable: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin (one place more than texts).
+
+    variable: if given, the hash of every word that holds a digit.
+    """
     whole = b"\n".join(texts)
     ends_of = np.cumsum([0] + [len(t) + 1 for t in texts])
     data, out, at, lo = np.frombuffer(whole, np.uint8), [], [], 0
@@ -64,6 +67,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         power, back = _BYTES.upto(len(part) + 1)
         sums = np.concatenate((np.zeros(1, U), np.cumsum((part.astype(U) + U(1)) * power[: len(part)])))
         out.append(mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407)))
+        if variable is not None:
+            digits = np.concatenate(([0], np.cumsum((part >= 48) & (part <= 57))))
+            out[-1][digits[ends] > digits[starts]] = variable
         at.append(starts + lo)
         lo = min(hi, len(data))
     hashes = np.concatenate(out) if out else np.empty(0, U)
@@ -80,6 +86,13 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:n]) * back[:n] + U(size))
 
 
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of words[start:end] for each span, without its length."""
+    power, back = _WORDS.upto(len(words) + 1)
+    sums = np.concatenate((np.zeros(1, U), np.cumsum(words * power[: len(words)])))
+    return mix((sums[ends] - sums[starts]) * back[starts])
+
+
 def inside(bounds: np.ndarray, size: int) -> np.ndarray:
     """Which windows (by their start) lie within one text."""
     total = int(bounds[-1])
