@@ -60,14 +60,17 @@ def _docs_blob(rows: list[tuple], bounds: np.ndarray) -> bytes:
 
 
 def _entries(hashes: np.ndarray, places: np.ndarray, anchors: np.ndarray, batch: str, docs: bytes, buckets: int, kept_bits: int) -> Iterator[tuple]:
-    """Rows as PACKED. Of equal hashes one goes to their bucket; their places go ahead as found, with n = -1."""
+    """Rows as PACKED. Of equal hashes one goes to their bucket. What needs no comparison has n = -1: places
+    whose hash is repeated within the batch, and the batch's documents."""
+    if len(hashes):
+        yield int(hashes[0] % U(buckets)), batch, -1, b"", b"", docs
     order = np.argsort(hashes, kind="stable")
     hashes, places, anchors = hashes[order], places[order], anchors[order]
     first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
     counts = np.diff(np.append(first, len(hashes)))
     if (counts > 1).any():
         again = np.sort(places[np.repeat(counts > 1, counts)])
-        yield int(again[0]) % buckets, batch, -1, b"", _squeeze(np.diff(again, prepend=0).astype("<u4")), docs
+        yield int(again[0]) % buckets, batch, -1, b"", _squeeze(np.diff(again, prepend=0).astype("<u4")), b""
     flag = np.logical_or.reduceat(anchors, first) if len(first) else first.astype(bool)
     hashes, coded = hashes[first], places[first].astype("<u4") * np.uint32(2) + flag
     step = (1 << 64) // buckets + 1
@@ -78,7 +81,7 @@ def _entries(hashes: np.ndarray, places: np.ndarray, anchors: np.ndarray, batch:
         lo, hi = cuts[k], cuts[k + 1]
         if lo < hi:
             own = hashes[lo:hi] >> shift
-            yield k, batch, int(hi - lo), _squeeze(np.diff(own, prepend=U(0)).astype("<u8")), _squeeze(coded[lo:hi]), docs
+            yield k, batch, int(hi - lo), _squeeze(np.diff(own, prepend=U(0)).astype("<u8")), _squeeze(coded[lo:hi]), b""
 
 
 def _packed(rows: Iterator[tuple]) -> pa.RecordBatch:
@@ -104,14 +107,17 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         for i in range(len(own)):
             if bounds[i] < bounds[i + 1]:
                 places = np.sort(coded[hit[bounds[i] : bounds[i + 1]]] >> 1)
-                out.append((own["batch"][i], _squeeze(np.diff(places, prepend=0).astype("<u4")), own["docs"][i]))
+                out.append((own["batch"][i], _squeeze(np.diff(places, prepend=0).astype("<u4")), b""))
     return pd.DataFrame(out, columns=["batch", "places", "docs"])
 
 
 def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
     """Of one batch: the places found, by document."""
-    docs = np.frombuffer(zstandard.decompress(rows["docs"].iloc[0]), "<i8").reshape(4, -1)
-    places = np.unique(np.concatenate([np.cumsum(_unsqueeze(x, "<u4"), dtype=np.int64) for x in rows["places"]]))
+    found = [np.cumsum(_unsqueeze(x, "<u4"), dtype=np.int64) for x in rows["places"] if x]
+    if not found:
+        return pd.DataFrame({"id": pd.array([], "Int64"), "h": np.empty(0, np.int64), "found": []})
+    docs = np.frombuffer(zstandard.decompress(next(x for x in rows["docs"] if x)), "<i8").reshape(4, -1)
+    places = np.unique(np.concatenate(found))
     of = np.searchsorted(docs[3], places, side="right") - 1
     which, first = np.unique(of, return_index=True)
     ends = np.append(first[1:], len(places))
