@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     placed = members.withColumn("block", own).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("block", "partner"), F.greatest("block", "partner")
     placed = placed.withColumns({"i": low, "other": high - low, "task": F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.xxhash64("comp", low, high))})
-    texts = rows.select("id", "h", "text").alias("a").join(placed.alias("b"), F.expr("a.id <=> b.id and a.h = b.h")).select("b.cid", "b.comp", "b.size", "b.block", "b.i", "b.other", "b.task", "a.text")
+    texts = rows.select("id", "h", "text").alias("a").join(placed.hint("merge").alias("b"), F.expr("a.id <=> b.id and a.h = b.h")).select("b.cid", "b.comp", "b.size", "b.block", "b.i", "b.other", "b.task", "a.text")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         out: list = []
