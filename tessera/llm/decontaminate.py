@@ -17,7 +17,6 @@ contaminated; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -28,26 +27,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, table, text_or_empty
+from tessera.llm.words import U, batches, word_hashes
 
-WORD = re.compile(r"[^\W_]+")
-RANK, POWER_ROUNDS = 48, 2
+RANK, POWER_ROUNDS = 128, 2
 #: Documents whose passages fit the latent space, chosen by a hash of their id.
 SAMPLE_DOCS = 1500
 #: Items compared at a time: what is broadcast.
 ITEM_BLOCK = 5000
 #: Words of the longest passages; longer items are compared in parts.
 SIZES = (16, 32, 64, 128)
-COSINE = 0.5
+COSINE = 0.6
+#: Words in a larger share of documents have no weight, except for items that have few other words.
+COMMON, FEW = 0.1, 4
 SAME, PARAPHRASE, ANSWER_WORDS = 0.8, 0.6, 5
+BATCH_BYTES = 1 << 20
+_PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words (runs of ASCII letters, digits and characters beyond ASCII), and where each text's begin."""
+    return word_hashes([t.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass").translate(_PLAIN) for t in texts])
 
 
-def lcs(a: list[str], b: list[str]) -> int:
+def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel over a (Hyyro 2004)."""
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -64,151 +68,175 @@ def _step(size: int) -> int:
     return size // 4
 
 
-def passages(places: np.ndarray, n: int, size: int) -> tuple[np.ndarray, int]:
-    """First known word of each quarter-size block of n words; known words are at the given places."""
-    step = _step(size)
-    blocks = -(-n // step) if n else 0
-    return np.searchsorted(places, np.arange(blocks + 1) * step), blocks
-
-
-def window_sums(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Sums of rows over every five successive blocks (a passage with a block to spare), fewer at the end."""
-    blocks = len(cuts) - 1
-    sums = np.concatenate((np.zeros((1, rows.shape[1]), rows.dtype), np.cumsum(rows, axis=0)))
-    k = np.arange(max(1, blocks - 4) if blocks else 0)
-    return sums[cuts[np.minimum(k + 5, blocks)]] - sums[cuts[k]]
+def window_sums(rows: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of rows (words at ascending places) over passages of five quarter-size blocks; the first block of each."""
+    block = places // _step(size)
+    kinds, first = np.unique(block, return_index=True)
+    sums = np.add.reduceat(rows, first, axis=0)
+    out = np.zeros((int(kinds[-1]) + 5, rows.shape[1]), rows.dtype)
+    for k in range(5):
+        out[kinds + 4 - k] += sums  # passage b + 4 holds blocks b to b + 4
+    some = np.flatnonzero(np.bincount((kinds[:, None] + np.arange(5)).ravel(), minlength=len(out)))
+    return out[some], some - 4
 
 
 class Items:
     """A block of items, ready for comparison."""
 
     def __init__(self, rows: list[tuple[int, str, str | None]]):
+        hashed = lambda texts: (lambda h, at: [h[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:], strict=True)])(*words_of([(t or "").encode("utf-8", "surrogatepass") for t in texts]))
         self.ids = [r[0] for r in rows]
-        self.words = [words_of(r[1]) for r in rows]
-        self.answers = [words_of(r[2]) if r[2] else w[-ANSWER_WORDS:] for r, w in zip(rows, self.words, strict=True)]
-        self.parts: list[tuple[int, list[str], int]] = []  # item, words, passage size
+        self.words = hashed([r[1] for r in rows])
+        self.answers = [a or w[-ANSWER_WORDS:] for a, w in zip(hashed([r[2] for r in rows]), self.words, strict=True)]
+        self.counts = [Counter(w) for w in self.words]
+        self.parts: list[tuple[int, list[int], int]] = []  # item, words, passage size
         for i, words in enumerate(self.words):
             for lo in range(0, len(words), SIZES[-1]):
                 part = words[lo : lo + SIZES[-1]]
                 self.parts.append((i, part, next(s for s in SIZES if len(part) <= s)))
+        self.vocabulary = np.unique(np.array([w for x in self.words for w in x], U))
 
-    def contaminates(self, i: int, region: list[str]) -> float:
+    def contaminates(self, i: int, region: list[int]) -> float:
         """The share of item i found in order in the region, if that is contamination; else 0."""
-        words = self.words[i]
-        have = Counter(region)
-        if sum((Counter(words) & have).values()) < PARAPHRASE * len(words):
+        words, have = self.words[i], Counter(region)
+        if sum(min(n, have.get(w, 0)) for w, n in self.counts[i].items()) < PARAPHRASE * len(words):
             return 0.0
         share = lcs(words, region) / len(words)
         if share >= SAME:
             return share
-        if share >= PARAPHRASE and self.answers[i]:
-            answer = " ".join(self.answers[i])
-            if f" {answer} " in f" {' '.join(region)} ":
-                return share
-        return 0.0
-
-
-def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, got, n = shared.value, Counter(), 0
-        for batch in batches:
-            for text in batch.column(0):
-                got.update(known.intersection(WORD.findall(text.as_py().lower())))
-                n += 1
+        answer = self.answers[i]
+        whole = answer and any(region[k : k + len(answer)] == answer for k in range(len(region) - len(answer) + 1))
+        return share if share >= PARAPHRASE and whole else 0.0
+
+
+def _known(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words of the vocabulary, and their numbers there."""
+    code = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    places = np.flatnonzero(vocabulary[code] == words)
+    return places, code[places]
+
+
+def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, n = shared.value, 0
+        total = np.zeros(len(vocabulary), np.int64)
+        for names, texts in batches(arrow, BATCH_BYTES):
+            words, bounds = words_of(texts)
+            places, code = _known(words, vocabulary)
+            of = np.searchsorted(bounds, places, side="right") - 1
+            total += np.bincount(np.unique(of * len(vocabulary) + code) % len(vocabulary), minlength=len(vocabulary))
+            n += len(names)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([*got, None]), pa.array([*got.values(), n], pa.int64())], names=["w", "n"])
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["w", "n"])
+
+    found = {r.w: r.n for r in docs.select("text").mapInArrow(_with_name(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
+    return np.array([found.get(w, 0) for w in range(len(vocabulary))], float), found.get(-1, 0)
+
 
-    found = {r.w: r.n for r in docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
-    return np.array([found.get(w, 0) for w in vocabulary], float), found.get(None, 0)
+def _with_name(f):
+    """batches() wants a column before the text."""
+    return lambda arrow: f(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(0)], names=["none", "text"]) for b in arrow)
 
 
-def _sketch(passage_rows: Iterator[tuple[np.ndarray, int]], thin: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def _sketch(passage_rows: Iterator[np.ndarray], thin: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The part of A'A thin of these passages' normalised TF-IDF vectors; a passage is ids of its words."""
     out = np.zeros_like(thin)
     for ids in passage_rows:
         kinds, tf = np.unique(ids, return_counts=True)
-        v = tf * idf[kinds]
+        v = tf * weights[kinds]
         v /= np.linalg.norm(v) or 1
         out[kinds] += v[:, None] * (v @ thin[kinds])
     return out
 
 
-def latent_space(docs: DataFrame, items: Items, vocabulary: list[str], idf: np.ndarray, rank: int, sample_docs: int) -> np.ndarray:
+def latent_space(docs: DataFrame, items: Items, weights: np.ndarray, rank: int, sample_docs: int) -> np.ndarray:
     """Right singular vectors (vocabulary by rank) of the passages' matrix."""
-    spark, code = docs.sparkSession, {w: i for i, w in enumerate(vocabulary)}
-    chosen = docs.select("id", F.xxhash64("id").alias("h")).where("id is not null").orderBy("h", "id").limit(sample_docs).select("id").distinct()
+    spark, vocabulary = docs.sparkSession, items.vocabulary
+    chosen = docs.select("id", F.xxhash64("id").alias("x")).where("id is not null").orderBy("x", "id").limit(sample_docs).select("id").distinct()
     sample = materialize(docs.join(F.broadcast(chosen), "id", "left_semi").select("text").repartition(8), "op5-sample")
-    own = [np.array([code[w] for w in part]) for _, part, _ in items.parts if part]
+    own = [np.searchsorted(vocabulary, np.array(part, U)) for _, part, _ in items.parts if part]
     rank = min(rank, len(vocabulary))
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(vocabulary), rank)))[0]
     for _ in range(1 + POWER_ROUNDS):
-        shared = spark.sparkContext.broadcast((code, idf, q))
+        shared = spark.sparkContext.broadcast((vocabulary, weights, q))
 
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            code, idf, thin = shared.value
+        def part(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, weights, thin = shared.value
             total = np.zeros_like(thin)
-            for batch in batches:
-                for text in batch.column(0):
-                    ids = np.array([code[w] for w in WORD.findall(text.as_py().lower()) if w in code], np.int64)
-                    total += _sketch((ids[k : k + 64] for k in range(0, len(ids), 64)), thin, idf)
+            for _, texts in batches(arrow, BATCH_BYTES):
+                words, bounds = words_of(texts)
+                places, code = _known(words, vocabulary)
+                for lo, hi in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.searchsorted(places, bounds)), strict=True):
+                    total += _sketch(np.split(code[lo:hi], np.searchsorted(places[lo:hi], np.arange(places[lo] + 64, places[hi - 1] + 1, 64))) if hi > lo else [], thin, weights)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-        total = _sketch(iter(own), q, idf)
-        for r in sample.mapInArrow(part, "m binary").toLocalIterator():  # one sum a partition, of 8
+        total = _sketch(iter(own), q, weights)
+        for r in sample.mapInArrow(_with_name(part), "m binary").toLocalIterator():  # one sum a partition, of 8
             total += np.frombuffer(r.m).reshape(total.shape)
         q = np.linalg.qr(total)[0]
         shared.unpersist()
     return q
 
 
+def _weights(df: np.ndarray, n_docs: int, items: Items) -> np.ndarray:
+    """Squared IDF; 0 for words in more than COMMON of the documents, unless an item would have less than FEW others."""
+    kept = df <= COMMON * n_docs
+    for words in items.words:
+        code = np.unique(np.searchsorted(items.vocabulary, np.array(words, U)))
+        if kept[code].sum() < FEW:
+            kept[code] = True
+    return np.where(kept, np.maximum(np.log((n_docs + 1) / (df + 1)), 1e-2) ** 2, 0.0)
+
+
 def _search(docs: DataFrame, items: Items, cosine: float, rank: int, sample_docs: int) -> DataFrame:
     """id, h, item_id, share of the contaminated documents."""
-    vocabulary = sorted({w for x in items.words for w in x})
-    if not vocabulary:
+    if not len(items.vocabulary):
         return docs.sparkSession.createDataFrame([], "id long, h long, item_id long, share double")
-    df, n_docs = _document_frequencies(docs, vocabulary)
-    idf = np.log((n_docs + 1) / (df + 1)) + 1
-    space = (latent_space(docs, items, vocabulary, idf, rank, sample_docs) * idf[:, None]).astype(np.float32)
-    code = {w: i for i, w in enumerate(vocabulary)}
+    weights = _weights(*_document_frequencies(docs, items.vocabulary), items)
+    space = (latent_space(docs, items, weights, rank, sample_docs) * weights[:, None]).astype(np.float32)
     queries = {}
     for size in SIZES:
         parts = [(i, p) for i, p, s in items.parts if s == size and p]
         if parts:
-            m = np.array([space[[code[w] for w in p]].sum(axis=0) for _, p in parts])
+            m = np.array([space[np.searchsorted(items.vocabulary, np.array(p, U))].sum(axis=0) for _, p in parts])
             queries[size] = np.array([i for i, _ in parts]), (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((items, code, space, queries))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, code, space, queries = shared.value
-        for batch in batches:
-            out = []
-            for name, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = WORD.findall(text.as_py().lower())
-                out += [(name, h, items.ids[i], share) for i, share in _found(words, items, code, space, queries, cosine)]
+    kept = weights > 0
+    shared = docs.sparkSession.sparkContext.broadcast((items, items.vocabulary[kept], space[kept], queries))
+
+    def search(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, texts in batches(arrow, BATCH_BYTES):
+            out = [(*names[d], shared.value[0].ids[i], share) for d, i, share in _found(texts, *shared.value, cosine)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "h", "item_id", "share"])
 
     return docs.select("id", "h", "text").mapInArrow(search, "id long, h long, item_id long, share double")
 
 
-def _found(words: list[str], items: Items, code: dict, space: np.ndarray, queries: dict, cosine: float) -> Iterator[tuple[int, float]]:
-    """Items that the words hold, with the share of each."""
-    ids = np.fromiter(map(code.get, words, [-1] * len(words)), np.int64, len(words))
-    places = np.flatnonzero(ids >= 0)
+def _found(texts: list[bytes], items: Items, vocabulary: np.ndarray, space: np.ndarray, queries: dict, cosine: float) -> Iterator[tuple[int, int, float]]:
+    """Text, item and share, of all items that texts hold. Texts lie on one line of words, with gaps longer than any passage."""
+    words, bounds = words_of(texts)
+    places, code = _known(words, vocabulary)
     if not len(places):
         return
-    rows, hits = space[ids[places]], {}
-    for size, (of, m) in queries.items():
-        sums = window_sums(rows, passages(places, len(words), size)[0])
-        scores = sums @ m
-        near = scores > cosine * np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
-        for p, k in zip(*np.nonzero(near), strict=True):
-            slack = max(_step(size), len(items.words[of[k]]) - size)
-            hits.setdefault(int(of[k]), []).append((max(0, p * _step(size) - slack), (p + 5) * _step(size) + slack))
-    for i, spans in hits.items():
-        if share := max(items.contaminates(i, words[lo:hi]) for lo, hi in spans):
-            yield i, share
+    gap = 2 * SIZES[-1]
+    of = np.searchsorted(bounds, places, side="right") - 1
+    shift = np.arange(len(texts)) * gap
+    rows, hits = space[code], {}
+    for size, (item, m) in queries.items():
+        sums, block = window_sums(rows, places + shift[of], size)
+        near = sums @ m > cosine * np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
+        at, k = np.nonzero(near)
+        start = block[at] * _step(size)
+        text = np.clip(np.searchsorted(bounds[:-1] + shift, start + 5 * _step(size), side="left") - 1, 0, len(texts) - 1)
+        start -= shift[text]
+        for d, i, lo in zip(text.tolist(), item[k].tolist(), start.tolist(), strict=True):
+            slack = max(_step(size), len(items.words[i]) - size)
+            hits.setdefault((d, i), []).append((max(int(bounds[d]), lo - slack), min(int(bounds[d + 1]), lo + 5 * _step(size) + slack)))
+    for (d, i), spans in hits.items():
+        if share := max(items.contaminates(i, words[lo:hi].tolist()) for lo, hi in spans):
+            yield d, i, share
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK, sample_docs: int = SAMPLE_DOCS, item_block: int = ITEM_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
