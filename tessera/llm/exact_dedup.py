@@ -52,7 +52,7 @@ def _level0(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, route
         out = occurrences.join(names, "h").drop("h")
         spare = (seen, occurrences)
     else:
-        occurrences = materialize(rows.join(clashes, "h", "left").withColumn("block", F.when("clash", F.col("block")).otherwise(F.lit(b""))).drop("clash"), "op1-blocks")
+        occurrences = materialize(rows.join(clashes, "h", "left").withColumn("block", F.when(F.col("clash"), F.col("block")).otherwise(F.lit(b""))).drop("clash"), "op1-blocks")
         names = _integer_names(occurrences.select("h", "block").distinct(), "h", "block")
         out = occurrences.join(names, ["h", "block"]).drop("h", "block")
         spare = (seen, occurrences)

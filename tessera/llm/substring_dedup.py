@@ -37,6 +37,7 @@ BATCH_BYTES = 12 << 20
 #: Entries in a bucket, about: what one task compares.
 BUCKET_ENTRIES = 2_000_000
 PACKED = "bucket long, batch string, n long, hashes binary, places binary, docs binary"
+KEY = ["g", "z", "h"]
 FOUND = "batch string, places binary, docs binary"
 
 
@@ -143,6 +144,15 @@ def _spread(places: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"g": F.coalesce("id", F.lit(-1)), "z": F.col("id").isNull()})
+
+
+def _once(found: DataFrame) -> DataFrame:
+    """One row a document: repeated rows have the same places, each as repeats of the others. The join's exchange serves here too."""
+    return _keyed(found).dropDuplicates(KEY).select(*KEY, "found")
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept (the kept words, joined by one space)."""
     block = (window + 1) // 2
@@ -174,8 +184,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             hashes = window_hashes(words, window)[own]
             yield _packed(_entries(hashes, own, np.ones(len(own), bool), f"{task}-{k}", _docs_blob(names, bounds), buckets, 64))
 
-    same = F.expr("a.id <=> b.id and a.h = b.h")
-    around = rows.alias("a").join(hits.alias("b"), same).select("a.id", "a.h", "b.found", "a.text")
+    around = _keyed(rows).join(_once(hits), KEY).select("id", "h", "found", "text")
     repeats = _matches(around.mapInArrow(extend, PACKED), "op6-repeats")
     reclaim(docs.sparkSession)
 
@@ -189,7 +198,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 out.append((name, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.alias("a").join(repeats.alias("b"), same, "left").select("a.id", "b.found", "a.text").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return _keyed(rows).join(_once(repeats), KEY, "left").select("id", "found", "text").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
