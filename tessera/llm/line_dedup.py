@@ -77,7 +77,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     lines = materialize(_lines(rows), "op9-lines")
     fresh = lines.select(F.explode(F.filter("keys", lambda x, i: F.getbit("fresh", i) == 1)).alias("key"))
     recurring = materialize(fresh.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"), "op9-recurring")
-    hits = lines.select("id", "h", "line", F.explode("keys").alias("key")).join(recurring, "key")
+    hits = lines.select("id", "h", "line", F.explode("keys").alias("key")).join(recurring.hint("merge"), "key")
     gone = materialize(hits.groupBy("id", "h").agg(F.collect_set("line").alias("gone")), "op9-dropped")
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
     same = F.expr("a.id <=> b.id and a.h = b.h")
-    return rows.alias("a").join(gone.alias("b"), same, "left").select("a.id", "b.gone", "a.text").mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+    return rows.alias("a").join(gone.hint("merge").alias("b"), same, "left").select("a.id", "b.gone", "a.text").mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
