@@ -6,11 +6,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tessera.operators import spatial, stats, tiles
+from tessera.operators import detection, forest, ranking, spatial, stats, tiles
+from tessera.plans import detection as _added  # noqa: F401  adds to the registry
 from tessera.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"connected_components", "component_centroids", "drop_small"}  # same operator, iterated; one of them is enough here
+SLOW = {"connected_components", "component_centroids", "drop_small", "component_sizes", "calib_candidates"}  # same operator, iterated; one of them is enough here
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,32 @@ def test_tile_ownership_and_guard(spark):
     assert len(t) == 2
     with pytest.raises(ValueError):
         tiles.tile_grid(spark, 10, 10, 8, 8)
+
+
+def test_split_shares_nulls_and_empty(spark):
+    rows = [(i, "a" if i % 3 else "b") for i in range(300)] + [(None, "b"), (None, None)]
+    df = spark.createDataFrame(rows, "k int, g string")
+    got = ranking.stratified_split(df, "g", df.k, 0.22).collect()
+    assert len(got) == 302
+    assert sum(r.test for r in got if r.g == "a") == 44 and sum(r.test for r in got if r.g == "b") == 22
+    assert ranking.stratified_split(df.where("false"), "g", df.k, 0.22).count() == 0
+
+
+def test_rank_is_exact(spark):
+    from hashlib import md5
+
+    df = spark.createDataFrame([(i, "a") for i in range(500)], "k int, g string")
+    got = {r.k: r["rank"] for r in ranking.hashed_rank(df, "g", df.k, 1).collect()}
+    assert got == {k: n for n, k in enumerate(sorted(range(500), key=lambda k: md5(str(k).encode()).hexdigest()), 1)}
+
+
+def test_marks_reach_all_tiles(spark):
+    points = [(1, 0, 0, 3), (2, 127, 127, 4), (3, 64, 64, 5), (4, 300, 10, 2)]
+    got = detection.marks_by_tile(spark.createDataFrame(points, "id int, x int, y int, r int"), 128, 256, 256).collect()
+    assert sorted((r.id, r.col_off, r.row_off) for r in got) == [(1, 0, 0), (2, 0, 0), (2, 0, 128), (2, 128, 0), (2, 128, 128), (3, 0, 0)]
+
+
+def test_forest_separates(spark):
+    rows = spark.createDataFrame([(i, float(i % 10), float(i % 7), float(i % 10 > 6)) for i in range(400)], "id int, a double, b double, y double")
+    scored = forest.score(forest.fit(rows, ["a", "b"], "y", trees=10), rows).collect()
+    assert all((r.prob > 0.5) == (r.y == 1) for r in scored)
