@@ -176,12 +176,6 @@ def q_geojson_points(spark, d):
     return pts(spark, d).select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("id", "score").alias("properties"), geometry.alias("geometry"))).alias("feature"))
 
 
-@query()  # steps have SQL of their own
-def q_propose_candidates(spark, d):
-    p = px(spark, d).select(F.lit(0).alias("tile_id"), "prow", "pcol", F.col("green").alias("veg"), (F.col("red") >= 30).alias("m"))
-    return detection.propose(p, "tile_id", SIDE, 3.0).select("prow", "pcol", _r(F.col("response"), "response", 4), "size")
-
-
 FEATURES = ["mean", "std", "p25", "p75", "center", "contrast"]
 
 
