@@ -13,15 +13,17 @@ def _least(edges: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: each v is then the smallest of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: u and v, longs, in any direction. A row per node that isn't the smallest of its component: u, and the smallest as v."""
     edges = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both)
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
@@ -30,7 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = materialize(small.distinct(), "edges")
         release(edges, least, large, low)
-        edges, before, state = new, state, _state(new)
-        if state == before:
-            break
+        edges = new
     return edges
