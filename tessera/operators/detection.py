@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import stats, stencils
+from tessera.operators.state import materialize
 
 
 def response_image(pixels: DataFrame, by: str, value: str, mask: str, small: float, large: float, side: int, blur_distance: float | None) -> DataFrame:
     """Adds response: rescaled difference of two blurs, 0 off the mask, and the rescaled (blurred) distance to the
     edge of the mask, weighted and rescaled over the whole tile."""
-    base = pixels.select(by, "prow", "pcol", F.col(value).cast("double").alias("_v"), F.col(mask).alias("_m"))
+    base = materialize(pixels.select(by, "prow", "pcol", F.col(value).cast("double").alias("_v"), F.col(mask).alias("_m")), "base")
     fine = stencils.gaussian(base, by, "_v", small, side).withColumnRenamed("_v", "_fine")
     coarse = stencils.gaussian(base.drop("_m"), by, "_v", large, side).withColumnRenamed("_v", "_coarse")
     dist = stencils.distance_transform(base.drop("_v"), by, "_m").select(by, "prow", "pcol", F.coalesce("dist", F.lit(0.0)).alias("_d"))
     if blur_distance:
         dist = stencils.gaussian(dist, by, "_d", blur_distance, side)
     key = [by, "prow", "pcol"]
+    fine, coarse, dist = (materialize(x, "part") for x in (fine, coarse, dist))
     all_ = fine.join(coarse, key).join(dist, key).withColumn("_diff", F.when(F.col("_m"), F.col("_fine") - F.col("_coarse")).otherwise(0.0))
     parts = stats.rescale(all_, by, {"_a": F.col("_diff"), "_b": F.col("_d")})
     # The weights of contrast and distance.
@@ -71,9 +73,12 @@ def propose(pixels: DataFrame, by: str, side: int, radius: float, floor: float =
     """Candidates of each tile: mask, opening and closing, small parts and holes, response, peaks, area range,
     and the best peak of each component. pixels: by, prow, pcol, m, and the veg index."""
     least = max(6, int(math.pi * (0.45 * radius) ** 2))
-    m = stencils.closing(stencils.opening(pixels.select(by, "prow", "pcol", "m"), by, "m", 1), by, "m", 1)
-    m = stencils.fill_holes(stencils.drop_small(m, by, "m", least), by, "m", max(8, least))
+    # Each step reads its input twice, so it is written between steps: else the plan doubles with every one.
+    m = materialize(stencils.opening(pixels.select(by, "prow", "pcol", "m"), by, "m", 1), "opened")
+    m = materialize(stencils.closing(m, by, "m", 1), "closed")
+    m = materialize(stencils.fill_holes(materialize(stencils.drop_small(m, by, "m", least), "large"), by, "m", max(8, least)), "mask")
     r = response_image(m.select(by, "prow", "pcol", "m").join(pixels.select(by, "prow", "pcol", "veg"), [by, "prow", "pcol"]), by, "veg", "m", max(1.0, 0.22 * radius), max(1.5, 0.95 * radius), side, None)
+    r = materialize(r, "response")
     peaks = stencils.local_maxima(r, by, "response", max(2, round(0.8 * radius)), floor).where("m").select(by, "prow", "pcol", "response")
     found = peaks_in_components(peaks, stencils.label(m, by, "m"), by)
     area = math.pi * radius * radius

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from tessera.operators.state import materialize
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
@@ -64,21 +65,38 @@ def gaussian(df: DataFrame, by: str, value: str, sigma: float, side: Column | in
     return out
 
 
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node connected with each of n nodes, by the edges a to b: larger roots hook onto smaller ones, then paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def label(df: DataFrame, by: str, mask: str) -> DataFrame:
-    """4-connected components of the mask, within each image: masked pixels with label, the smallest place in the component.
-    Labels spread to neighbours and along the labels they point to, until nothing changes."""
-    place = F.col("prow").cast("long") * (1 << 31) + F.col("pcol")
-    cells = materialize(df.where(F.col(mask)).select(by, "prow", "pcol").withColumn("label", place), "labels")
-    total = None
-    while True:
-        near = gather(cells, by, [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)], "label", F.min).withColumn("label", F.col("near")).drop("near")
-        jump = near.select(F.col(by), place.alias("at"), F.col("label").alias("further"))
-        new = near.alias("a").join(jump.alias("b"), F.expr(f"a.{by} = b.{by} and a.label = b.at"), "left").select(f"a.{by}", "prow", "pcol", F.least(F.col("a.label"), F.col("further")).alias("label"))
-        cells = materialize(new, "labels")
-        now = cells.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return cells
-        total = now
+    """4-connected components of the mask, within each image: masked pixels with label, the smallest place in the component
+    (prow * 2^31 + pcol). One task holds one image, so its size is what bounds memory: by is to be a tile of fixed size.
+    Repeated pixels each get the label; a null mask counts as false."""
+    cells = df.where(F.col(mask)).select(by, F.col("prow").cast("int").alias("prow"), F.col("pcol").cast("int").alias("pcol"))
+
+    def components(table: pa.Table) -> pa.Table:
+        place = table["prow"].to_numpy().astype(np.int64) * (1 << 31) + table["pcol"].to_numpy()
+        nodes, node = np.unique(place, return_inverse=True)
+        ends = []
+        for step in (1, 1 << 31):
+            at = np.searchsorted(nodes, nodes + step)
+            here = np.flatnonzero(np.append(nodes, -1)[at] == nodes + step)
+            ends.append((here, at[here]))
+        root = _roots(*(np.concatenate(e) for e in zip(*ends, strict=True)), len(nodes))
+        return table.append_column("label", pa.array(nodes[root][node]))
+
+    schema = StructType([*cells.schema.fields, StructField("label", LongType())])
+    return cells.groupBy(by).applyInArrow(components, schema)
 
 
 def drop_small(df: DataFrame, by: str, mask: str, least: int) -> DataFrame:

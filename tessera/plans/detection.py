@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
-from tessera.operators import detection, forest, ranking, spatial, stats, stencils, tiles
+from tessera.operators import blobs, detection, forest, ranking, spatial, stats, stencils, tiles, training
 from tessera.plans.fixtures import PTS, PX, REFPTS, SIDE, _read, pts, px, refpts
 from tessera.plans.registry import AFFINE, EX, LABELS, MASK, OVERLAP, PAIRS, TILE, TURNED, _halves, _mask, _r, _sql_rescale, _tiled, query
 
@@ -193,3 +193,21 @@ def q_forest_fit(spark, d):
 def q_forest_score(spark, d):
     rows = _rows(spark, d)
     return forest.score(forest.fit(rows, FEATURES, "y", trees=20), rows).select("vec_id", "y", "prob")
+
+
+@query()
+def q_log_blobs(spark, d):
+    tile = px(spark, d).withColumns({"tile_id": F.lit(0), "v": F.when(F.col("red") >= 20, F.col("green") / 255.0).otherwise(0.0)})
+    return blobs.log_blobs(tile, "tile_id", "v", blobs.scales(2.0, 8.0)).select("prow", "pcol", _r(F.col("radius"), "radius"), _r(F.col("response"), "response"))
+
+
+@query()
+def q_propose_candidates(spark, d):
+    tile = px(spark, d).select(F.lit(0).alias("tile_id"), "prow", "pcol", (F.col("red") >= 10).alias("m"), F.col("green").cast("double").alias("veg"))
+    return detection.propose(tile, "tile_id", SIDE, 3.0).select("prow", "pcol", _r(F.col("response"), "response", 4), "size")
+
+
+@query()
+def q_training_set(spark, d):
+    cand, ref = _halves(spark, d)
+    return training.training_set(cand.select("id", "x", "y", (F.col("id") % 10 / 10).alias("score")), ref, 1009, 1013, 4.0, 9.0)

@@ -11,7 +11,6 @@ from tessera.plans import detection as _added  # noqa: F401  adds to the registr
 from tessera.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"connected_components", "component_centroids", "drop_small", "component_sizes", "calib_candidates"}  # same operator, iterated; one of them is enough here
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW | {"drop_small"}))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, duck, name):
     got = registry.queries()[name](spark, DATA)
     want = duck.sql(registry.oracle_sql()[name])
