@@ -1,12 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages (word windows) are TF-IDF vectors over the benchmark's vocabulary, with document frequencies
-counted over all documents. A distributed randomised SVD (range finder with power iterations, Halko et
-al. 2011) of the passages of a bounded sample of documents, and of the items, gives the latent space;
-each worker adds up its passages' part of A'A times a thin matrix, and only such sums reach the driver.
-Every passage of every document is then projected and compared by cosine with the items, in blocks of
-items. Candidates are verified: the longest common subsequence of the item's words with the words around
-the passage must hold SAME of the item, or PARAPHRASE of it together with the whole answer.
+Passages (word windows) are TF-IDF vectors over the words of a block of items of one size class, with
+document frequencies counted over all documents. A randomised SVD (Halko et al. 2011) of the block's
+vectors gives its latent space; blocks hold at most RANK items, so the space holds them all and the
+projection of a passage keeps its products with every item. Directions that passages add to it are
+orthogonal to the items and would change no product, so fitting needs no documents and no sample.
+
+Every passage of every document is projected and compared with the items. What an item must reach follows
+from what the verifier accepts: the longest common subsequence of the item's words with the words around
+the passage must hold SAME of the item, or PARAPHRASE of it together with the whole answer. Words in such
+a number weigh at least as much as the item's lightest ones, so no window of the item's length that the
+verifier would accept falls under the limit.
 
 The answer is the item's answer column if there is one, else its last ANSWER_WORDS words.
 
@@ -17,6 +21,7 @@ contaminated; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -29,18 +34,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize, table, text_or_empty
 from tessera.llm.words import U, batches, word_hashes
 
-RANK, POWER_ROUNDS = 128, 2
-#: Documents whose passages fit the latent space, chosen by a hash of their id.
-SAMPLE_DOCS = 1500
-#: Items compared at a time: what is broadcast.
+#: Items in one latent space.
+RANK = 128
+#: Items compared in one pass over the documents: what is broadcast.
 ITEM_BLOCK = 5000
-#: Words of the longest passages; longer items are compared in parts.
-SIZES = (16, 32, 64, 128)
-COSINE = 0.6
-#: Words in a larger share of documents have no weight, except for items that have few other words.
-COMMON, FEW = 0.1, 4
+#: Words of the shortest passages' items; each further class holds twice as many.
+LEAST_SIZE = 16
 SAME, PARAPHRASE, ANSWER_WORDS = 0.8, 0.6, 5
 BATCH_BYTES = 1 << 20
+#: Words projected at a time.
+PIECE = 1 << 15
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -71,13 +74,14 @@ def _step(size: int) -> int:
 def window_sums(rows: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of rows (words at ascending places) over passages of five quarter-size blocks; the first block of each."""
     block = places // _step(size)
-    kinds, first = np.unique(block, return_index=True)
+    first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
     sums = np.add.reduceat(rows, first, axis=0)
-    out = np.zeros((int(kinds[-1]) + 5, rows.shape[1]), rows.dtype)
-    for k in range(5):
-        out[kinds + 4 - k] += sums  # passage b + 4 holds blocks b to b + 4
-    some = np.flatnonzero(np.bincount((kinds[:, None] + np.arange(5)).ravel(), minlength=len(out)))
-    return out[some], some - 4
+    some = np.unique(block[first][:, None] + np.arange(-4, 1))
+    out = np.zeros((len(some), rows.shape[1]), rows.dtype)
+    at = np.searchsorted(some, block[first])
+    for k in range(5):  # passage b - k holds blocks b - k to b - k + 4
+        out[at if not k else np.searchsorted(some, block[first] - k)] += sums
+    return out, some
 
 
 class Items:
@@ -89,13 +93,18 @@ class Items:
         self.words = hashed([r[1] for r in rows])
         self.answers = [a or w[-ANSWER_WORDS:] for a, w in zip(hashed([r[2] for r in rows]), self.words, strict=True)]
         self.counts = [Counter(w) for w in self.words]
-        self.parts: list[tuple[int, list[int], int]] = []  # item, words, passage size
-        for i, words in enumerate(self.words):
-            for lo in range(0, len(words), SIZES[-1]):
-                part = words[lo : lo + SIZES[-1]]
-                self.parts.append((i, part, next(s for s in SIZES if len(part) <= s)))
+        self.sizes = [LEAST_SIZE << max(0, (len(w) - 1).bit_length() - (LEAST_SIZE - 1).bit_length()) for w in self.words]
         self.vocabulary = np.unique(np.array([w for x in self.words for w in x], U))
 
+    def least(self, i: int, weights: np.ndarray) -> float:
+        """The least weight of a passage with as much of item i as contaminates() asks for; weights by word of the vocabulary."""
+        weigh = lambda words: weights[np.searchsorted(self.vocabulary, np.array(words, U))]
+        n, answer = len(self.words[i]), Counter(self.answers[i]) & self.counts[i]
+        others = np.sort(weigh(list((self.counts[i] - answer).elements())))
+        same = np.sort(weigh(self.words[i]))[: math.ceil(SAME * n - 1e-9)].sum()
+        rest = max(0, math.ceil(PARAPHRASE * n - 1e-9) - answer.total())
+        return min(same, weigh(list(answer.elements())).sum() + others[:rest].sum())
+
     def contaminates(self, i: int, region: list[int]) -> float:
         """The share of item i found in order in the region, if that is contamination; else 0."""
         words, have = self.words[i], Counter(region)
@@ -141,105 +150,101 @@ def _with_name(f):
     return lambda arrow: f(pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(0)], names=["none", "text"]) for b in arrow)
 
 
-def _sketch(passage_rows: Iterator[np.ndarray], thin: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The part of A'A thin of these passages' normalised TF-IDF vectors; a passage is ids of its words."""
-    out = np.zeros_like(thin)
-    for ids in passage_rows:
-        kinds, tf = np.unique(ids, return_counts=True)
-        v = tf * weights[kinds]
-        v /= np.linalg.norm(v) or 1
-        out[kinds] += v[:, None] * (v @ thin[kinds])
-    return out
-
-
-def latent_space(docs: DataFrame, items: Items, weights: np.ndarray, rank: int, sample_docs: int) -> np.ndarray:
-    """Right singular vectors (vocabulary by rank) of the passages' matrix."""
-    spark, vocabulary = docs.sparkSession, items.vocabulary
-    chosen = docs.select("id", F.xxhash64("id").alias("x")).where("id is not null").orderBy("x", "id").limit(sample_docs).select("id").distinct()
-    sample = materialize(docs.join(F.broadcast(chosen), "id", "left_semi").select("text").repartition(8), "op5-sample")
-    own = [np.searchsorted(vocabulary, np.array(part, U)) for _, part, _ in items.parts if part]
-    rank = min(rank, len(vocabulary))
-    q = np.linalg.qr(np.random.default_rng(7).standard_normal((len(vocabulary), rank)))[0]
-    for _ in range(1 + POWER_ROUNDS):
-        shared = spark.sparkContext.broadcast((vocabulary, weights, q))
-
-        def part(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, thin = shared.value
-            total = np.zeros_like(thin)
-            for _, texts in batches(arrow, BATCH_BYTES):
-                words, bounds = words_of(texts)
-                places, code = _known(words, vocabulary)
-                for lo, hi in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.searchsorted(places, bounds)), strict=True):
-                    total += _sketch(np.split(code[lo:hi], np.searchsorted(places[lo:hi], np.arange(places[lo] + 64, places[hi - 1] + 1, 64))) if hi > lo else [], thin, weights)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-        total = _sketch(iter(own), q, weights)
-        for r in sample.mapInArrow(_with_name(part), "m binary").toLocalIterator():  # one sum a partition, of 8
-            total += np.frombuffer(r.m).reshape(total.shape)
-        q = np.linalg.qr(total)[0]
-        shared.unpersist()
-    return q
-
-
-def _weights(df: np.ndarray, n_docs: int, items: Items) -> np.ndarray:
-    """Squared IDF; 0 for words in more than COMMON of the documents, unless an item would have less than FEW others."""
-    kept = df <= COMMON * n_docs
-    for words in items.words:
-        code = np.unique(np.searchsorted(items.vocabulary, np.array(words, U)))
-        if kept[code].sum() < FEW:
-            kept[code] = True
-    return np.where(kept, np.maximum(np.log((n_docs + 1) / (df + 1)), 1e-2) ** 2, 0.0)
-
-
-def _search(docs: DataFrame, items: Items, cosine: float, rank: int, sample_docs: int) -> DataFrame:
+def latent_space(vectors: np.ndarray) -> np.ndarray:
+    """Right singular vectors (words by rank) of the items' matrix, from a random sketch of its whole row space."""
+    q = np.linalg.qr(vectors.T @ np.random.default_rng(7).standard_normal((len(vectors), min(vectors.shape))))[0]
+    return q @ np.linalg.svd(vectors @ q, full_matrices=False)[2].T
+
+
+class Space:
+    """Items of one size class, their latent space, and what the product of a passage with each must reach."""
+
+    def __init__(self, items: Items, of: list[int], idf: np.ndarray):
+        self.of, self.size = np.array(of), items.sizes[of[0]]
+        self.vocabulary = np.unique(np.array([w for i in of for w in items.words[i]], U))
+        own = idf[np.searchsorted(items.vocabulary, self.vocabulary)]
+        vectors = np.zeros((len(of), len(own)))
+        for row, i in enumerate(of):
+            code = np.searchsorted(self.vocabulary, np.array(items.words[i], U))
+            vectors[row, code] = own[code]
+        space = latent_space(vectors)
+        self.rows, self.queries = (own[:, None] * space).astype(np.float32), (vectors @ space).T.astype(np.float32)
+        self.least = (np.array([items.least(i, idf**2) for i in of]) * (1 - 1e-3)).astype(np.float32)  # less what float32 rounds
+        self.holds = np.zeros((len(of), len(own) + 1), bool)  # the last column is for words that no item has
+        self.holds[:, :-1] = vectors > 0
+        self.enough = np.array([math.ceil(PARAPHRASE * len(items.words[i]) - 1e-9) for i in of])
+
+
+def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.maximum(np.log((n_docs + 1) / (df + 1)), 1e-2)
+
+
+def _search(docs: DataFrame, items: Items, rank: int) -> DataFrame:
     """id, h, item_id, share of the contaminated documents."""
     if not len(items.vocabulary):
         return docs.sparkSession.createDataFrame([], "id long, h long, item_id long, share double")
-    weights = _weights(*_document_frequencies(docs, items.vocabulary), items)
-    space = (latent_space(docs, items, weights, rank, sample_docs) * weights[:, None]).astype(np.float32)
-    queries = {}
-    for size in SIZES:
-        parts = [(i, p) for i, p, s in items.parts if s == size and p]
-        if parts:
-            m = np.array([space[np.searchsorted(items.vocabulary, np.array(p, U))].sum(axis=0) for _, p in parts])
-            queries[size] = np.array([i for i, _ in parts]), (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
-    kept = weights > 0
-    shared = docs.sparkSession.sparkContext.broadcast((items, items.vocabulary[kept], space[kept], queries))
+    idf, spaces = _idf(*_document_frequencies(docs, items.vocabulary)), []
+    for size in sorted(set(items.sizes)):
+        of = sorted((i for i, words in enumerate(items.words) if words and items.sizes[i] == size), key=lambda i: len(items.words[i]))
+        spaces += [Space(items, of[lo : lo + rank], idf) for lo in range(0, len(of), rank)]
+    shared = docs.sparkSession.sparkContext.broadcast((items, spaces))
 
     def search(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, texts in batches(arrow, BATCH_BYTES):
-            out = [(*names[d], shared.value[0].ids[i], share) for d, i, share in _found(texts, *shared.value, cosine)]
+            out = [(*names[d], shared.value[0].ids[i], share) for d, i, share in _found(texts, *shared.value)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "h", "item_id", "share"])
 
     return docs.select("id", "h", "text").mapInArrow(search, "id long, h long, item_id long, share double")
 
 
-def _found(texts: list[bytes], items: Items, vocabulary: np.ndarray, space: np.ndarray, queries: dict, cosine: float) -> Iterator[tuple[int, int, float]]:
-    """Text, item and share, of all items that texts hold. Texts lie on one line of words, with gaps longer than any passage."""
-    words, bounds = words_of(texts)
-    places, code = _known(words, vocabulary)
+def _candidates(words: np.ndarray, bounds: np.ndarray, space: Space) -> Iterator[tuple[np.ndarray, ...]]:
+    """Texts, items (by place in the space) and regions of the passages that reach the limit and hold enough words of the item.
+
+    Texts lie on one line of words, with gaps longer than any passage."""
+    places, code = _known(words, space.vocabulary)
     if not len(places):
         return
-    gap = 2 * SIZES[-1]
-    of = np.searchsorted(bounds, places, side="right") - 1
-    shift = np.arange(len(texts)) * gap
-    rows, hits = space[code], {}
-    for size, (item, m) in queries.items():
-        sums, block = window_sums(rows, places + shift[of], size)
-        near = sums @ m > cosine * np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
-        at, k = np.nonzero(near)
-        start = block[at] * _step(size)
-        text = np.clip(np.searchsorted(bounds[:-1] + shift, start + 5 * _step(size), side="left") - 1, 0, len(texts) - 1)
+    step = _step(space.size)
+    shift = np.arange(len(bounds) - 1) * 2 * space.size
+    where = places + shift[np.searchsorted(bounds, places, side="right") - 1]
+    every = np.full(len(words) + 1, len(space.vocabulary))
+    every[places] = code
+    cuts = np.append(np.arange(0, len(places), PIECE), len(places))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        # Passages that begin in this piece need the words of the five blocks that follow it.
+        first = where[lo] // step if lo else None
+        last = where[hi] // step if hi < len(where) else None
+        a = lo if lo == 0 else np.searchsorted(where, first * step)
+        b = len(where) if last is None else np.searchsorted(where, (last + 4) * step)
+        sums, block = window_sums(space.rows[code[a:b]], where[a:b], space.size)
+        mine = (block >= first if lo else True) & (block < last if last is not None else True) & np.ones(len(block), bool)
+        at, k = np.nonzero(sums[mine] @ space.queries >= space.least)
+        start = block[mine][at] * step
+        text = np.clip(np.searchsorted(bounds[:-1] + shift, start + 5 * step, side="left") - 1, 0, len(shift) - 1)
         start -= shift[text]
-        for d, i, lo in zip(text.tolist(), item[k].tolist(), start.tolist(), strict=True):
-            slack = max(_step(size), len(items.words[i]) - size)
-            hits.setdefault((d, i), []).append((max(int(bounds[d]), lo - slack), min(int(bounds[d + 1]), lo + 5 * _step(size) + slack)))
+        for c in range(0, len(at), 1 << 14):
+            t, i, s = text[c : c + (1 << 14)], k[c : c + (1 << 14)], start[c : c + (1 << 14)]
+            begin, end = np.maximum(bounds[t], s - step), np.minimum(bounds[t + 1], s + 6 * step)
+            spread = begin[:, None] + np.arange(7 * step)
+            held = space.holds[i[:, None], every[np.where(spread < end[:, None], spread, len(words))]].sum(axis=1)
+            good = held >= space.enough[i]
+            yield t[good], space.of[i[good]], begin[good], end[good]
+
+
+def _found(texts: list[bytes], items: Items, spaces: list[Space]) -> Iterator[tuple[int, int, float]]:
+    """Text, item and share, of all items that texts hold."""
+    words, bounds = words_of(texts)
+    hits: dict = {}
+    for space in spaces:
+        for found in _candidates(words, bounds, space):
+            for d, i, lo, hi in zip(*(x.tolist() for x in found), strict=True):
+                hits.setdefault((d, i), []).append((lo, hi))
     for (d, i), spans in hits.items():
         if share := max(items.contaminates(i, words[lo:hi].tolist()) for lo, hi in spans):
             yield d, i, share
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK, sample_docs: int = SAMPLE_DOCS, item_block: int = ITEM_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, item_block: int = ITEM_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and item found in it: id, h (hash of the text), item_id, share."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -248,10 +253,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     for r in items.toLocalIterator():  # a stated query set, in blocks of bounded size
         block.append(tuple(r))
         if len(block) == item_block:
-            found.append(materialize(_search(rows, Items(block), cosine, rank, sample_docs), "op5-found"))
+            found.append(materialize(_search(rows, Items(block), rank), "op5-found"))
             block = []
     if block:
-        found.append(_search(rows, Items(block), cosine, rank, sample_docs))
+        found.append(_search(rows, Items(block), rank))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -187,3 +187,28 @@ def test_empty_tables(spark):
     assert packing.pack(packing.tokenized_pieces(none, path("word_bpe_49k.json"))).count() == 0
     assert url_filter.url_filter(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count() == 0
     assert language_id.language_id(none, path("piece_bpe_32k.model"), language_id.trains()).count() == 0
+
+
+def test_decontamination_recall_at_the_limits(spark):
+    """Every pair that a search of all windows finds: copies, and paraphrases that the verifier only just accepts."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(30)]
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.62 else f"rare{rng.randrange(4000)}" for _ in range(rng.randrange(15, 56)))) for i in range(150)]
+    texts = []
+    for i, item in items:
+        words = item.split()
+        n, answer = len(words), len(words) - decontaminate.ANSWER_WORDS
+        share = (0.2, 0.4)[i % 2]  # without and with the answer
+        order = sorted(range(n if i % 2 == 0 else answer), key=lambda k: (words[k] in common, rng.random()))
+        for k in order[: int(share * n)]:
+            words[k] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(rng.choices(common, k=rng.randrange(40)) + words + rng.choices(common, k=rng.randrange(40))))
+    texts += [" ".join(rng.choices(common, k=60)) for _ in range(50)]
+    block = decontaminate.Items([(*x, None) for x in items])
+    truth = set()
+    for d, text in enumerate(texts):
+        h = decontaminate.words_of([text.encode()])[0].tolist()
+        truth |= {(d, i) for i, w in enumerate(block.words) if any(block.contaminates(i, h[lo : lo + len(w)]) for lo in range(max(1, len(h) - len(w) + 1)))}
+    assert {(i, i) for i in range(150)} <= truth
+    found = {(r.id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert truth <= found
