@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,20 @@ def test_decontamination_recall_at_the_limits(spark):
     assert {(i, i) for i in range(150)} <= truth
     found = {(r.id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert truth <= found
+
+
+@pytest.mark.parametrize("n", [15, 16, 17, 33, 64, 65, 150])
+def test_decontamination_limit_is_implied(n):
+    """Texts that hold the least the verifier accepts, of the lightest words, are found whatever the size class leaves over."""
+    rng = random.Random(n)
+    item = [f"w{k}" for k in range(n)]
+    block = decontaminate.Items([(7, " ".join(item), None)])
+    idf = decontaminate._idf(2.0 ** np.array([rng.randrange(13) for _ in range(n)]), 5000)
+    weight = dict(zip(block.vocabulary.tolist(), idf, strict=True))
+    of = {w: weight[h] for w, h in zip(item, block.words[0], strict=True)}
+    answer, space = item[-decontaminate.ANSWER_WORDS :], decontaminate.Space(block, [0], idf)
+    for share, always in ((decontaminate.SAME, []), (decontaminate.PARAPHRASE, answer)):
+        others = sorted((w for w in item if w not in always), key=of.get)
+        kept = {*always, *others[: -int(-share * n // 1) - len(always)]}
+        text = " ".join(["x"] * 77 + [w if w in kept else "new" for w in item] + ["x"] * 9).encode()
+        assert [(d, i) for d, i, _ in decontaminate._found([b"x y", text, b""], block, [space])] == [(1, 0)]
