@@ -1,12 +1,16 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line is parsed down the tree by its token count, then by its leading tokens, then to its templates: the
-line with every token that holds a digit generalised to a variable field, and, for lines of at least
-SEGMENTED tokens, the same with one of SEGMENTS equal parts behind the leading tokens generalised as a
-whole (so that at least three quarters of the rest is constant). A template that at least MIN_DOCS
+A line is parsed down the tree by its token count, then by an anchor, then to its templates. First
+templates: the line with every token that holds a digit generalised to a variable field, and, for lines
+of at least SEGMENTED tokens, the same with one of SEGMENTS equal parts behind the leading tokens
+generalised as a whole. Further fields are found in leaves: an anchor is a run of tokens at a place (every
+adjacent pair in lines of up to ANCHORS + 1 tokens, else ANCHORS runs spread over the line), so that one
+of them is free of fields wherever the fields are. In a leaf (token count and anchor) the distinct lines with each
+token are counted by position; a token that at least DOMINANT of them have is constant and the others are
+fields, and a template has more than CONSTANT of its tokens constant. A template that at least MIN_DOCS
 documents hold is recurring; lines with a recurring template are dropped from all documents.
 Unlike similarity merging in the leaves of such a tree, the result doesn't depend on the order of lines
-and needs no leaf in one place: counting templates is one aggregation.
+and needs no leaf in one place: counting tokens and templates is aggregation.
 
 Defined results: a null text has no lines; blank lines have no template and stay; a line that one
 document repeats counts once for it; repeated rows count as documents of their own; rows with null ids
@@ -26,6 +30,7 @@ from tessera.llm.common import materialize, table, text_or_empty
 from tessera.llm.words import U, batches, mix, span_hashes, word_hashes
 
 LEADING, SEGMENTS, SEGMENTED, MIN_DOCS = 2, 4, 10, 3
+ANCHORS, DOMINANT, CONSTANT = 8, 0.5, 0.5
 VARIABLE = U(0x2545F4914F6CDD1D)
 
 
@@ -71,12 +76,75 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(parse, "id long, h long, line int, keys array<long>, fresh int")
 
 
+def line_leaves(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines (by place, ascending) and the leaves that they are in."""
+    words, bounds = word_hashes(lines, VARIABLE)
+    n = np.diff(bounds)
+    some = np.flatnonzero(n > 2)
+    start, n = bounds[:-1][some], n[some]
+    size, count = np.maximum(2, n // ANCHORS), np.minimum(n - 1, ANCHORS)
+    k = np.arange(ANCHORS)
+    at = k * (n - size)[:, None] // np.maximum(count - 1, 1)[:, None]
+    a = start[:, None] + np.minimum(at, (n - size)[:, None])
+    leaf = mix(span_hashes(words, a.ravel(), (a + size[:, None]).ravel()).reshape(a.shape) + mix(n.astype(U))[:, None] + (a - start[:, None]).astype(U) * U(0x9E3779B97F4A7C15))
+    real = k < count[:, None]
+    return np.repeat(some, count), leaf[real]
+
+
+def _distinct_leaves(rows: DataFrame) -> DataFrame:
+    """key (first template of a line), leaf."""
+
+    def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches(arrow, 4 << 20):
+            lines = list({line for t in texts for line in t.split(b"\n")})
+            of, leaf = line_leaves(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(line_templates(lines)[0][of, 0].view(np.int64)), pa.array(leaf.view(np.int64))], names=["key", "leaf"])
+
+    return rows.select("id", "text").mapInArrow(parse, "key long, leaf long")
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """key (first template of a line), tokens (half of each hash)."""
+
+    def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches(arrow, 4 << 20):
+            lines = list({line for t in texts for line in t.split(b"\n")})
+            words, bounds = word_hashes(lines, VARIABLE)
+            key = line_templates(lines)[0][:, 0].view(np.int64)
+            tokens = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array((words >> U(32)).astype(np.uint32).view(np.int32)))
+            some = np.unique(key, return_index=True)[1]
+            some = pa.array(some[np.diff(bounds)[some] > 2])
+            yield pa.RecordBatch.from_arrays([pa.array(key).take(some), tokens.take(some)], names=["key", "tokens"])
+
+    return rows.select("id", "text").mapInArrow(parse, "key long, tokens array<int>")
+
+
+def _generalised(rows: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """key: the first templates of lines that have a recurring template of a leaf."""
+    pairs = _distinct_leaves(rows)
+    several = pairs.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("leaf")
+    within = materialize(pairs.join(several.hint("merge"), "leaf").distinct(), "op9-leaves")
+    tokens = _tokens(rows).join(within.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    members = materialize(within.join(tokens.hint("merge"), "key"), "op9-members")
+    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    counts = members.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    constant = counts.join(sizes.hint("merge"), "leaf").where(F.col("c") >= DOMINANT * F.col("n")).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
+    own = F.filter("constant", lambda x: F.get("tokens", x["at"]) == x["token"])
+    found = members.join(constant.hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
+    templates = materialize(found.select("key", F.xxhash64("leaf", "own").alias("template")), "op9-templates")
+    held = lines.where(F.getbit("fresh", F.lit(0)) == 1).select("id", "h", F.col("keys")[0].alias("key")).join(templates.hint("merge"), "key")
+    copies = held.groupBy("template", "id", "h", "key").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
+    recurring = copies.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
+    return templates.join(recurring.hint("merge"), "template").select("key")
+
+
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: doc_id, n_lines, n_dropped, kept (the lines that stay)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
     lines = materialize(_lines(rows), "op9-lines")
     fresh = lines.select(F.explode(F.filter("keys", lambda x, i: F.getbit("fresh", i) == 1)).alias("key"))
-    recurring = materialize(fresh.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"), "op9-recurring")
+    recurring = fresh.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
+    recurring = materialize(recurring.unionByName(_generalised(rows, lines, min_docs)).distinct(), "op9-recurring")
     hits = lines.select("id", "h", "line", F.explode("keys").alias("key")).join(recurring.hint("merge"), "key")
     gone = materialize(hits.groupBy("id", "h").agg(F.collect_set("line").alias("gone")), "op9-dropped")
 

@@ -250,3 +250,21 @@ def test_url_training_by_rules(spark, monkeypatch):
     assert max(got[1500 + k].score for k in range(20)) < min(got[i].score for i in range(600))
     left_out = [r for r in got.values() if r.rule is None and urls[r.page_id] not in accepted]
     assert sum(r.verdict == "block" for r in left_out) <= 0.1 * len(left_out)
+
+
+def test_line_templates_without_digits(spark):
+    """Fields without a digit: in short lines, among the leading tokens, and in several parts of a line."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choices("bcdfghjklm", k=9))
+    forms = [
+        lambda: f"User {name()} logged in from {name()}",
+        lambda: f"{name()} wrote on this page",
+        lambda: f"posted by {name()}",
+        lambda: f"{name()} visit the {name()} archive for more of what we print each week in our {name()} section today",
+    ]
+    texts = [f"{form()}\nown {name()} {name()} {name()} {name()}" for form in forms for _ in range(40)]
+    texts += ["\n".join(f"list of {name()} things" for _ in range(9))]  # of one document alone
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(160):
+        assert got[i].kept == texts[i].split("\n")[1], texts[i]
+    assert got[160].n_dropped == 0
