@@ -1,10 +1,12 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding of one fixed depth.
 
 A document is its set of 5-word shingles (all its words together if it has fewer). Documents with equal
-sets are one class. Classes are signed with MinHash; each tree of the forest holds the classes sorted by
-a run of signature values. A match begins with the longest prefixes and shortens them until a pair at
-the threshold is found by some tree with the target recall, so the prefix depth follows from threshold,
-trees and recall, and from nothing in the data. Classes that share a prefix are candidates; candidate
+sets are one class. Classes are signed with MinHash; each tree is a run of signature values, of which a
+prefix is hashed to a key. This is not an LSH forest: nothing is sorted and no prefix is shortened for a
+match. The join has one threshold, so the depth at which a pair at the threshold shares a prefix in some
+tree with the target recall is the same for all pairs; it follows from threshold, trees and recall, and
+from nothing in the data. Longer prefixes would find only pairs that this depth finds as well.
+Classes that share a prefix are candidates; candidate
 groups (connected components of shared prefixes) are verified exactly, on the shingle sets themselves:
 a group within one task, or a large one in pairs of blocks, each pair of classes once. What leaves a task
 is a row per class: its number of links and the smallest class it is connected with, never pairs.
