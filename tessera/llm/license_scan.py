@@ -2,10 +2,12 @@
 
 One pass over the texts keeps, per document, the number of words and the places of indexed licence words
 (a fixed vocabulary: the words of the phrases and templates below, without function words). Document
-frequencies over all documents give each licence word its IDF. For each template its highest-IDF words
-are its index entries: a document looks up those of its words, each hit (document place minus template
-place) is an alignment, alignments of one template are intersected, and the template counts where its
-mandatory key phrase is verified at that alignment: every indexed word of the phrase at its own place.
+frequencies over all documents give each licence word its IDF. For each template its RARE_WORDS words of
+highest IDF are its index entries: a document looks up those of its words, each hit (document place minus
+template place) is an alignment, at each alignment the template's words are intersected with the document's
+(so a notice is found without one of its rare words), and the template counts where its mandatory key
+phrase is verified at that alignment: every word of the phrase, function words too, at its own place.
+Function words are kept only near indexed ones, for this verification, and have no part in the score.
 Because a phrase can only stand where its rarest word stands, no place of a phrase is missed.
 
 Defined results: a null text counts as empty; a document without licence words has n_base 0, null places,
@@ -66,10 +68,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     templates = _templates()
     vocabulary = sorted({w for *_, words in templates for w in words if w not in COMMON_WORDS})
+    beside = sorted({w for *_, words in templates for w in words if w in COMMON_WORDS})
+    reach = max(len(words) for *_, words in templates)
     words = F.regexp_extract_all(F.translate(text_or_empty(text_col), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
     found = F.filter(F.transform(F.col("words"), lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("p")))), lambda x: x.isNotNull())
     pages = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words.alias("words"))
-    pages = materialize(pages.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), found.alias("hits")), "op3-words")
+    pages = pages.withColumn("hits", found)
+    # Function words within reach of an indexed one; texts without any are passed over.
+    common = F.filter(F.transform(F.col("words"), lambda w, i: F.when(w.isin(beside), F.struct(w.alias("w"), i.alias("p")))), lambda x: x.isNotNull() & F.exists("hits", lambda y: F.abs(x["p"] - y["p"]) < reach))
+    common = F.when(F.size("hits") > 0, common).otherwise(F.slice("hits", 1, 0))
+    pages = materialize(pages.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), "hits", common.alias("common")), "op3-words")
 
     n_docs = pages.count()
     some = pages.where(F.size("hits") > 0)
@@ -81,16 +89,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = [(w, q) for q, w in enumerate(ws) if w not in COMMON_WORDS]
         total = sum(idf[w] for w, _ in own)
         rare = sorted({w for w, _ in own}, key=lambda w: (-idf[w], w))[:rare_words]
-        postings += [(w, t, q, idf[w]) for w, q in own]
-        anchors += [(w, t, q) for w, q in own if w == rare[0]]
-        needed.append((t, label, base, kind, len(own), total))
+        postings += [(w, t, q, idf.get(w, 0.0)) for q, w in enumerate(ws)]
+        anchors += [(w, t, q) for w, q in own if w in rare]
+        needed.append((t, label, base, kind, len(ws), total))
     postings = spark.createDataFrame(postings, "w string, t int, q int, idf double")
     anchors = spark.createDataFrame(anchors, "w string, t int, q int")
     needed = spark.createDataFrame(needed, "t int, label string, base boolean, kind string, n_own int, total double")
     lookup = sorted({r.w for r in anchors.select("w").distinct().collect()})
 
-    # Look-up: alignments by the rarest word of each template; the template tables have a fixed size.
-    rare = some.select("rid", F.col("hits").alias("all"), F.explode(F.filter("hits", lambda x: x["w"].isin(lookup))).alias("x"))
+    # Look-up: alignments by the rare words of each template; the template tables have a fixed size.
+    rare = some.select("rid", F.concat("hits", "common").alias("all"), F.explode(F.filter("hits", lambda x: x["w"].isin(lookup))).alias("x"))
     placed = rare.join(F.broadcast(anchors), F.col("x.w") == F.col("w")).select("rid", "all", "t", (F.col("x.p") - F.col("q")).alias("at")).where("at >= 0")
     # Intersection: the template's words that stand at their place relative to the alignment.
     wanted = postings.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("q", "w", "idf"))).alias("wanted"))

@@ -268,3 +268,11 @@ def test_line_templates_without_digits(spark):
     for i in range(160):
         assert got[i].kept == texts[i].split("\n")[1], texts[i]
     assert got[160].n_dropped == 0
+
+
+def test_license_phrases_are_whole(spark):
+    notice = "redistribution and use in source and binary forms with or without modification are permitted"
+    texts = ["licensed under cc by", "licensed foo cc bar", "released xx yy public domain", "released into the public domain", "bsd license " + notice, "bsd license " + notice.replace("binary", "other"), "bsd license " + notice.replace("redistribution", "other")]
+    got = [r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [r.labels for r in got] == ["cc-by", "", "", "unlicense", "bsd", "bsd", "bsd"]
+    assert got[4].score == 1 and 0 < got[5].score < 1 and 0 < got[6].score < 1
