@@ -6,22 +6,26 @@ vectors gives its latent space; blocks hold at most RANK items, so the space hol
 projection of a passage keeps its products with every item. Directions that passages add to it are
 orthogonal to the items and would change no product, so fitting needs no documents and no sample.
 
-Every passage of every document is projected and compared with the items. What an item must reach follows
-from what the verifier accepts: the longest common subsequence of the item's words with the words around
-the passage must hold SAME of the item, or PARAPHRASE of it together with the whole answer. Words in such
-a number weigh at least as much as the item's lightest ones, so no window of the item's length that the
-verifier would accept falls under the limit.
-
-The answer is the item's answer column if there is one, else its last ANSWER_WORDS words.
-
-Defined results: null or empty texts and items match nothing; items of fewer than LEAST_WORDS words are
-compared as the others; repeated rows are judged each for itself; with an empty benchmark nothing is
-contaminated; an empty table gives an empty result.
+Every passage of every document that holds enough of the heaviest words of some item (its keys; without
+them PARAPHRASE of its words cannot stand there) is projected and compared with the items. What an item
+must reach follows from what the verifier accepts: the longest common subsequence of the item's words with
+the words around the passage must hold SAME of the item, or PARAPHRASE of it together with a whole answer.
+Words in such a number weigh at least as much as the item's lightest ones, so no window of the item's
+length that the verifier would accept falls under the limit.
+
+The answer is the item's answer column if there is one. Else an item has two: its closing sentence (or its
+last ANSWER_WORDS words, if that is shorter) and its heaviest run of ANSWER_WORDS words.
+
+Defined results: null or empty texts and items match nothing; items of any number of words are compared
+alike; repeated rows are judged each for itself, and so are rows with null ids; with an empty benchmark
+nothing is contaminated; an empty table gives an empty result; other columns, whatever their names, are
+ignored (decontaminate() keeps those of its documents).
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -41,6 +45,9 @@ ITEM_BLOCK = 5000
 #: Words of the shortest passages' items; each further class holds twice as many.
 LEAST_SIZE = 16
 SAME, PARAPHRASE, ANSWER_WORDS = 0.8, 0.6, 5
+#: Share of an item's words that a contaminated passage is asked to hold of the item's keys.
+KEYS = 0.1
+SENTENCE = re.compile(r"[.!?]\s+|\n")
 BATCH_BYTES = 1 << 20
 #: Words projected at a time.
 PIECE = 1 << 15
@@ -84,26 +91,54 @@ def window_sums(rows: np.ndarray, places: np.ndarray, size: int) -> tuple[np.nda
     return out, some
 
 
+def _hashed(texts: list[str]) -> list[list[int]]:
+    words, at = words_of([t.encode("utf-8", "surrogatepass") for t in texts])
+    return [words[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
 class Items:
     """A block of items, ready for comparison."""
 
     def __init__(self, rows: list[tuple[int, str, str | None]]):
-        hashed = lambda texts: (lambda h, at: [h[lo:hi].tolist() for lo, hi in zip(at[:-1], at[1:], strict=True)])(*words_of([(t or "").encode("utf-8", "surrogatepass") for t in texts]))
         self.ids = [r[0] for r in rows]
-        self.words = hashed([r[1] for r in rows])
-        self.answers = [a or w[-ANSWER_WORDS:] for a, w in zip(hashed([r[2] for r in rows]), self.words, strict=True)]
+        self.words = _hashed([r[1] or "" for r in rows])
+        given = _hashed([r[2] or "" for r in rows])
+        self.given = [bool(a) for a in given]
+        closing = _hashed([([x for x in SENTENCE.split(r[1] or "") if x.strip()] or [""])[-1] for r in rows])
+        self.answers = [[a] if a else [c if len(c) >= ANSWER_WORDS else w[-ANSWER_WORDS:]] if w else [] for a, c, w in zip(given, closing, self.words, strict=True)]
         self.counts = [Counter(w) for w in self.words]
         self.sizes = [LEAST_SIZE << max(0, (len(w) - 1).bit_length() - (LEAST_SIZE - 1).bit_length()) for w in self.words]
         self.vocabulary = np.unique(np.array([w for x in self.words for w in x], U))
 
+    def weigh(self, words: list[int], weights: np.ndarray) -> np.ndarray:
+        return weights[np.searchsorted(self.vocabulary, np.array(words, U))]
+
+    def add_rare_answers(self, idf: np.ndarray) -> None:
+        """The heaviest run of ANSWER_WORDS words is an answer too, where none was given."""
+        for i, words in enumerate(self.words):
+            if len(words) > ANSWER_WORDS and not self.given[i]:
+                sums = np.convolve(self.weigh(words, idf), np.ones(ANSWER_WORDS), "valid")
+                at = int(sums.argmax())
+                self.answers[i] = [*self.answers[i], words[at : at + ANSWER_WORDS]]
+
     def least(self, i: int, weights: np.ndarray) -> float:
         """The least weight of a passage with as much of item i as contaminates() asks for; weights by word of the vocabulary."""
-        weigh = lambda words: weights[np.searchsorted(self.vocabulary, np.array(words, U))]
-        n, answer = len(self.words[i]), Counter(self.answers[i]) & self.counts[i]
-        others = np.sort(weigh(list((self.counts[i] - answer).elements())))
-        same = np.sort(weigh(self.words[i]))[: math.ceil(SAME * n - 1e-9)].sum()
-        rest = max(0, math.ceil(PARAPHRASE * n - 1e-9) - answer.total())
-        return min(same, weigh(list(answer.elements())).sum() + others[:rest].sum())
+        n = len(self.words[i])
+        out = np.sort(self.weigh(self.words[i], weights))[: math.ceil(SAME * n - 1e-9)].sum()
+        for given in self.answers[i]:
+            answer = Counter(given) & self.counts[i]
+            others = np.sort(self.weigh(list((self.counts[i] - answer).elements()), weights))
+            rest = max(0, math.ceil(PARAPHRASE * n - 1e-9) - answer.total())
+            out = min(out, self.weigh(list(answer.elements()), weights).sum() + others[:rest].sum())
+        return out
+
+    def keys(self, i: int, weights: np.ndarray) -> tuple[list[int], int]:
+        """Words of item i of which a contaminated passage holds at least so many: the heaviest ones, so many that
+        PARAPHRASE of the item cannot do with fewer of them."""
+        n, need = len(self.words[i]), math.ceil(PARAPHRASE * len(self.words[i]) - 1e-9)
+        many = max(1, min(need, int(KEYS * n)))
+        order = np.argsort(-self.weigh(self.words[i], weights), kind="stable")[: n - need + many]
+        return sorted({self.words[i][k] for k in order}), many
 
     def contaminates(self, i: int, region: list[int]) -> float:
         """The share of item i found in order in the region, if that is contamination; else 0."""
@@ -113,9 +148,8 @@ class Items:
         share = lcs(words, region) / len(words)
         if share >= SAME:
             return share
-        answer = self.answers[i]
-        whole = answer and any(region[k : k + len(answer)] == answer for k in range(len(region) - len(answer) + 1))
-        return share if share >= PARAPHRASE and whole else 0.0
+        whole = share >= PARAPHRASE and any(a and any(region[k : k + len(a)] == a for k in range(len(region) - len(a) + 1)) for a in self.answers[i])
+        return share if whole else 0.0
 
 
 def _known(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +195,14 @@ class Space:
 
     def __init__(self, items: Items, of: list[int], idf: np.ndarray):
         self.of, self.size = np.array(of), items.sizes[of[0]]
-        self.vocabulary = np.unique(np.array([w for i in of for w in items.words[i]], U))
-        own = idf[np.searchsorted(items.vocabulary, self.vocabulary)]
+        vocabulary = np.unique(np.array([w for i in of for w in items.words[i]], U))
+        at = np.searchsorted(items.vocabulary, vocabulary)
+        self.code = np.full(len(items.vocabulary), -1)  # of words of the items' vocabulary in the space's own
+        self.code[at] = np.arange(len(at))
+        own = idf[at]
         vectors = np.zeros((len(of), len(own)))
         for row, i in enumerate(of):
-            code = np.searchsorted(self.vocabulary, np.array(items.words[i], U))
+            code = np.searchsorted(vocabulary, np.array(items.words[i], U))
             vectors[row, code] = own[code]
         space = latent_space(vectors)
         self.rows, self.queries = (own[:, None] * space).astype(np.float32), (vectors @ space).T.astype(np.float32)
@@ -173,6 +210,30 @@ class Space:
         self.holds = np.zeros((len(of), len(own) + 1), bool)  # the last column is for words that no item has
         self.holds[:, :-1] = vectors > 0
         self.enough = np.array([math.ceil(PARAPHRASE * len(items.words[i]) - 1e-9) for i in of])
+        posted = [[] for _ in own]  # the items that each word is a key of
+        self.many = np.zeros(len(of), np.int64)
+        for row, i in enumerate(of):
+            keys, self.many[row] = items.keys(i, idf)
+            for k in np.searchsorted(vocabulary, np.array(keys, U)):
+                posted[k].append(row)
+        self.n_posted = np.array([len(x) for x in posted])
+        self.first_posted = np.cumsum(self.n_posted) - self.n_posted
+        self.posted = np.array([row for x in posted for row in x], np.int64)
+
+    def living(self, code: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The passages (by first block, ascending) that hold enough keys of some item: no other can be contaminated."""
+        n = self.n_posted[code]
+        if not n.any():
+            return np.empty(0, np.int64)
+        ends = np.cumsum(n)
+        item = self.posted[np.repeat(self.first_posted[code] - ends + n, n) + np.arange(ends[-1])]
+        blocks, at = np.unique(np.repeat(block, n), return_inverse=True)
+        held = np.bincount(at * len(self.of) + item, minlength=len(blocks) * len(self.of)).reshape(len(blocks), -1)
+        some = np.unique(blocks[:, None] + np.arange(-4, 1))
+        total = np.zeros((len(some), len(self.of)), np.int32)
+        for k in range(5):  # passage b - k holds blocks b - k to b - k + 4
+            total[np.searchsorted(some, blocks - k)] += held.astype(np.int32)
+        return some[(total >= self.many).any(axis=1)]
 
 
 def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
@@ -184,6 +245,7 @@ def _search(docs: DataFrame, items: Items, rank: int) -> DataFrame:
     if not len(items.vocabulary):
         return docs.sparkSession.createDataFrame([], "id long, h long, item_id long, share double")
     idf, spaces = _idf(*_document_frequencies(docs, items.vocabulary)), []
+    items.add_rare_answers(idf)
     for size in sorted(set(items.sizes)):
         of = sorted((i for i, words in enumerate(items.words) if words and items.sizes[i] == size), key=lambda i: len(items.words[i]))
         spaces += [Space(items, of[lo : lo + rank], idf) for lo in range(0, len(of), rank)]
@@ -197,17 +259,19 @@ def _search(docs: DataFrame, items: Items, rank: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(search, "id long, h long, item_id long, share double")
 
 
-def _candidates(words: np.ndarray, bounds: np.ndarray, space: Space) -> Iterator[tuple[np.ndarray, ...]]:
+def _candidates(n_words: int, places: np.ndarray, code: np.ndarray, bounds: np.ndarray, space: Space) -> Iterator[tuple[np.ndarray, ...]]:
     """Texts, items (by place in the space) and regions of the passages that reach the limit and hold enough words of the item.
+    places and code: the words of the items' vocabulary.
 
     Texts lie on one line of words, with gaps longer than any passage."""
-    places, code = _known(words, space.vocabulary)
+    code = space.code[code]
+    places, code = places[code >= 0], code[code >= 0]
     if not len(places):
         return
     step = _step(space.size)
     shift = np.arange(len(bounds) - 1) * 2 * space.size
-    where = places + shift[np.searchsorted(bounds, places, side="right") - 1]
-    every = np.full(len(words) + 1, len(space.vocabulary))
+    where = places + np.repeat(shift, np.diff(bounds))[places]
+    every = np.full(n_words + 1, len(space.n_posted))
     every[places] = code
     cuts = np.append(np.arange(0, len(places), PIECE), len(places))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -216,17 +280,23 @@ def _candidates(words: np.ndarray, bounds: np.ndarray, space: Space) -> Iterator
         last = where[hi] // step if hi < len(where) else None
         a = lo if lo == 0 else np.searchsorted(where, first * step)
         b = len(where) if last is None else np.searchsorted(where, (last + 4) * step)
-        sums, block = window_sums(space.rows[code[a:b]], where[a:b], space.size)
-        mine = (block >= first if lo else True) & (block < last if last is not None else True) & np.ones(len(block), bool)
+        living = space.living(code[a:b], where[a:b] // step)
+        living = living[(living >= first if lo else True) & (living < last if last is not None else True) & np.ones(len(living), bool)]
+        if not len(living):
+            continue
+        among = np.unique(living[:, None] + np.arange(5))
+        near = a + np.flatnonzero(among[np.minimum(np.searchsorted(among, where[a:b] // step), len(among) - 1)] == where[a:b] // step)
+        sums, block = window_sums(space.rows[code[near]], where[near], space.size)
+        mine = np.searchsorted(block, living)
         at, k = np.nonzero(sums[mine] @ space.queries >= space.least)
-        start = block[mine][at] * step
+        start = living[at] * step
         text = np.clip(np.searchsorted(bounds[:-1] + shift, start + 5 * step, side="left") - 1, 0, len(shift) - 1)
         start -= shift[text]
         for c in range(0, len(at), 1 << 14):
             t, i, s = text[c : c + (1 << 14)], k[c : c + (1 << 14)], start[c : c + (1 << 14)]
             begin, end = np.maximum(bounds[t], s - step), np.minimum(bounds[t + 1], s + 6 * step)
             spread = begin[:, None] + np.arange(7 * step)
-            held = space.holds[i[:, None], every[np.where(spread < end[:, None], spread, len(words))]].sum(axis=1)
+            held = space.holds[i[:, None], every[np.where(spread < end[:, None], spread, n_words)]].sum(axis=1)
             good = held >= space.enough[i]
             yield t[good], space.of[i[good]], begin[good], end[good]
 
@@ -234,9 +304,10 @@ def _candidates(words: np.ndarray, bounds: np.ndarray, space: Space) -> Iterator
 def _found(texts: list[bytes], items: Items, spaces: list[Space]) -> Iterator[tuple[int, int, float]]:
     """Text, item and share, of all items that texts hold."""
     words, bounds = words_of(texts)
+    places, code = _known(words, items.vocabulary)
     hits: dict = {}
     for space in spaces:
-        for found in _candidates(words, bounds, space):
+        for found in _candidates(len(words), places, code, bounds, space):
             for d, i, lo, hi in zip(*(x.tolist() for x in found), strict=True):
                 hits.setdefault((d, i), []).append((lo, hi))
     for (d, i), spans in hits.items():

@@ -84,7 +84,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done.append(level.where("n = 1").select(keep))
     named = reduce(DataFrame.unionByName, done)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("first")
-    groups = named.groupBy("blocks", "name").agg(first, F.count(F.lit(1)).alias("group_size"))
+    # A table of its own, so that the join with it can split a group of many copies.
+    groups = materialize(named.groupBy("blocks", "name").agg(first, F.count(F.lit(1)).alias("group_size")), "op1-groups")
     return named.join(groups, ["blocks", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("blocks").cast("long").alias("n_blocks")
     )
