@@ -13,8 +13,9 @@ the words around the passage must hold SAME of the item, or PARAPHRASE of it tog
 Words in such a number weigh at least as much as the item's lightest ones, so no window of the item's
 length that the verifier would accept falls under the limit.
 
-The answer is the item's answer column if there is one. Else an item has two: its closing sentence (or its
-last ANSWER_WORDS words, if that is shorter) and its heaviest run of ANSWER_WORDS words.
+The answer is the item's answer column if there is one. Else an item has two: its closing sentence (its
+last ANSWER_WORDS words, if that is shorter, or more than half of the item) and its heaviest run of
+ANSWER_WORDS words.
 
 Defined results: null or empty texts and items match nothing; items of any number of words are compared
 alike; repeated rows are judged each for itself, and so are rows with null ids; with an empty benchmark
@@ -105,7 +106,7 @@ class Items:
         given = _hashed([r[2] or "" for r in rows])
         self.given = [bool(a) for a in given]
         closing = _hashed([([x for x in SENTENCE.split(r[1] or "") if x.strip()] or [""])[-1] for r in rows])
-        self.answers = [[a] if a else [c if len(c) >= ANSWER_WORDS else w[-ANSWER_WORDS:]] if w else [] for a, c, w in zip(given, closing, self.words, strict=True)]
+        self.answers = [[a] if a else [c if ANSWER_WORDS <= len(c) <= len(w) // 2 else w[-ANSWER_WORDS:]] if w else [] for a, c, w in zip(given, closing, self.words, strict=True)]
         self.counts = [Counter(w) for w in self.words]
         self.sizes = [LEAST_SIZE << max(0, (len(w) - 1).bit_length() - (LEAST_SIZE - 1).bit_length()) for w in self.words]
         self.vocabulary = np.unique(np.array([w for x in self.words for w in x], U))
