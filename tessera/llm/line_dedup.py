@@ -1,20 +1,19 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line is parsed down the tree by its token count, then by an anchor, then to its templates. First
-templates: the line with every token that holds a digit generalised to a variable field, and, for lines
-of at least SEGMENTED tokens, the same with one of SEGMENTS equal parts behind the leading tokens
-generalised as a whole. Further fields are found in leaves: an anchor is a run of tokens at a place (every
-adjacent pair in lines of up to ANCHORS + 1 tokens, else ANCHORS runs spread over the line), so that one
-of them is free of fields wherever the fields are. In a leaf (token count and anchor) the distinct lines with each
-token are counted by position; a token that at least DOMINANT of them have is constant and the others are
-fields, and a template has more than CONSTANT of its tokens constant. A template that at least MIN_DOCS
-documents hold is recurring; lines with a recurring template are dropped from all documents.
-Unlike similarity merging in the leaves of such a tree, the result doesn't depend on the order of lines
-and needs no leaf in one place: counting tokens and templates is aggregation.
+A line is parsed down the tree by its token count, then by its leading tokens, then to its templates. The
+first template is the line with every token that holds a digit generalised to a variable field. Further
+fields are found in leaves. A leaf is a token count and a run of tokens at its place: the leading tokens,
+and ANCHORS - 1 more runs spread over the line, so that a line whose leading tokens are fields themselves
+is in some leaf with its like. In a leaf the distinct lines with each token are counted by position; a
+token that at least DOMINANT of them have is constant and the others are fields, and a template has more
+than CONSTANT of its tokens constant. A template that at least MIN_DOCS documents hold is recurring; lines
+with a recurring template are dropped from all documents. Unlike similarity merging in the leaves of such
+a tree, the result doesn't depend on the order of lines and needs no leaf in one place: counting tokens
+and templates is aggregation. Not found are templates with a field in each of their line's runs.
 
 Defined results: a null text has no lines; blank lines have no template and stay; a line that one
 document repeats counts once for it; repeated rows count as documents of their own; rows with null ids
-take part; an empty table gives an empty result.
+take part; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,113 +25,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table, text_or_empty
+from tessera.llm.common import materialize, release, table, text_or_empty
 from tessera.llm.words import U, batches, mix, span_hashes, word_hashes
 
-LEADING, SEGMENTS, SEGMENTED, MIN_DOCS = 2, 4, 10, 3
-ANCHORS, DOMINANT, CONSTANT = 8, 0.5, 0.5
+LEADING, MIN_DOCS = 2, 3
+ANCHORS, DOMINANT, CONSTANT = 4, 0.5, 0.5
 VARIABLE = U(0x2545F4914F6CDD1D)
 
 
-def line_templates(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Template keys by line (one column, then one for each segment; 0 where there is none) and token counts."""
-    words, bounds = word_hashes(lines, VARIABLE)
+def line_templates(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """First template's key by line; 0 for a line without words."""
     starts, ends = bounds[:-1], bounds[1:]
     n = ends - starts
     branch = mix(n.astype(U) * U(0x9E3779B97F4A7C15) + span_hashes(words, starts, np.minimum(starts + LEADING, ends)))
-    keys = np.zeros((len(lines), SEGMENTS + 1), U)
-    keys[:, 0] = np.where(n > 0, mix(branch + span_hashes(words, starts, ends)), U(0))
-    long = n >= SEGMENTED
-    rest = np.maximum(n - LEADING, 0)
-    for k in range(SEGMENTS):
-        a, b = starts + np.minimum(LEADING, n) + rest * k // SEGMENTS, starts + np.minimum(LEADING, n) + rest * (k + 1) // SEGMENTS
-        other = mix(span_hashes(words, starts, a) + U(k + 1)) + span_hashes(words, b, ends)
-        keys[:, k + 1] = np.where(long, mix(branch ^ mix(other)), U(0))
-    return keys, n
+    return np.where(n > 0, mix(branch + span_hashes(words, starts, ends)), U(0))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """id, h, line (place), keys, fresh (bits: keys that no earlier line of the document has)."""
+    """id, h, line (place), key, fresh (whether no earlier line of the document has the key)."""
 
     def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, texts in batches(arrow, 4 << 20):
             split = [t.split(b"\n") for t in texts]
-            keys, n = line_templates([line for x in split for line in x])
-            of = np.repeat(np.arange(len(split)), [len(x) for x in split])
-            place = np.arange(len(of)) - np.repeat(np.cumsum([0] + [len(x) for x in split[:-1]]), [len(x) for x in split])
-            flat = mix(keys + mix(of.astype(U) + U(1))[:, None]).ravel()
-            fresh = np.zeros(len(flat), bool)
-            fresh[np.unique(flat, return_index=True)[1]] = True
-            fresh = (fresh.reshape(keys.shape) << np.arange(SEGMENTS + 1)).sum(axis=1)
-            some = np.flatnonzero(n > 0)
-            width = np.where(n[some] >= SEGMENTED, SEGMENTS + 1, 1)
-            kept = keys[some][np.arange(SEGMENTS + 1) < width[:, None]].view(np.int64)
+            key = line_templates(*word_hashes([line for x in split for line in x], VARIABLE))
+            many = np.array([len(x) for x in split])
+            of = np.repeat(np.arange(len(split)), many)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            fresh = np.zeros(len(key), bool)
+            fresh[np.unique(mix(key + mix(of.astype(U) + U(1))), return_index=True)[1]] = True
+            some = np.flatnonzero(key)
             ids, hs = pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())
             at = pa.array(of[some])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(at), hs.take(at), pa.array(place[some].astype(np.int32)), pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(width))).astype(np.int32), pa.array(kept)), pa.array(fresh[some].astype(np.int32))], names=["id", "h", "line", "keys", "fresh"]
-            )
+            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(place[some].astype(np.int32)), pa.array(key[some].view(np.int64)), pa.array(fresh[some])], names=["id", "h", "line", "key", "fresh"])
 
-    return rows.mapInArrow(parse, "id long, h long, line int, keys array<long>, fresh int")
+    return rows.mapInArrow(parse, "id long, h long, line int, key long, fresh boolean")
 
 
-def line_leaves(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lines (by place, ascending) and the leaves that they are in."""
-    words, bounds = word_hashes(lines, VARIABLE)
-    n = np.diff(bounds)
-    some = np.flatnonzero(n > 2)
-    start, n = bounds[:-1][some], n[some]
-    size, count = np.maximum(2, n // ANCHORS), np.minimum(n - 1, ANCHORS)
-    k = np.arange(ANCHORS)
-    at = k * (n - size)[:, None] // np.maximum(count - 1, 1)[:, None]
-    a = start[:, None] + np.minimum(at, (n - size)[:, None])
-    leaf = mix(span_hashes(words, a.ravel(), (a + size[:, None]).ravel()).reshape(a.shape) + mix(n.astype(U))[:, None] + (a - start[:, None]).astype(U) * U(0x9E3779B97F4A7C15))
-    real = k < count[:, None]
-    return np.repeat(some, count), leaf[real]
+def line_leaves(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of lines of three words and more, and how many each has. Short lines have as many as they have adjacent pairs."""
+    start, n = bounds[:-1], np.diff(bounds)
+    size, count = np.maximum(LEADING, n // (2 * ANCHORS)), np.minimum(n - 1, ANCHORS)
+    at = np.minimum(np.arange(ANCHORS) * (n - size)[:, None] // np.maximum(count - 1, 1)[:, None], (n - size)[:, None])
+    a = start[:, None] + at
+    leaf = mix(span_hashes(words, a.ravel(), (a + size[:, None]).ravel()).reshape(a.shape) + mix(n.astype(U))[:, None] + at.astype(U) * U(0x9E3779B97F4A7C15))
+    return leaf[np.arange(ANCHORS) < count[:, None]], count
 
 
-def _distinct_leaves(rows: DataFrame) -> DataFrame:
-    """key (first template of a line), leaf."""
-
-    def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches(arrow, 4 << 20):
-            lines = list({line for t in texts for line in t.split(b"\n")})
-            of, leaf = line_leaves(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(line_templates(lines)[0][of, 0].view(np.int64)), pa.array(leaf.view(np.int64))], names=["key", "leaf"])
-
-    return rows.select("id", "text").mapInArrow(parse, "key long, leaf long")
-
-
-def _tokens(rows: DataFrame) -> DataFrame:
-    """key (first template of a line), tokens (half of each hash)."""
+def _distinct(rows: DataFrame) -> DataFrame:
+    """key (first template of a line), leaves, tokens (half of each hash): distinct lines of each batch."""
 
     def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in batches(arrow, 4 << 20):
             lines = list({line for t in texts for line in t.split(b"\n")})
             words, bounds = word_hashes(lines, VARIABLE)
-            key = line_templates(lines)[0][:, 0].view(np.int64)
-            tokens = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array((words >> U(32)).astype(np.uint32).view(np.int32)))
+            key = line_templates(words, bounds)
             some = np.unique(key, return_index=True)[1]
-            some = pa.array(some[np.diff(bounds)[some] > 2])
-            yield pa.RecordBatch.from_arrays([pa.array(key).take(some), tokens.take(some)], names=["key", "tokens"])
+            some = some[np.diff(bounds)[some] > 2]
+            n = np.diff(bounds)[some]
+            ends = np.cumsum(n)
+            own = words[np.repeat(bounds[some] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.append(0, ends)
+            leaf, count = line_leaves(own, cuts)
+            listed = lambda cuts, values: pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), listed(np.append(0, np.cumsum(count)), leaf.view(np.int64)), listed(cuts, (own >> U(32)).astype(np.uint32).view(np.int32))], names=["key", "leaves", "tokens"])
 
-    return rows.select("id", "text").mapInArrow(parse, "key long, tokens array<int>")
+    return rows.select("id", "text").mapInArrow(parse, "key long, leaves array<long>, tokens array<int>")
 
 
 def _generalised(rows: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     """key: the first templates of lines that have a recurring template of a leaf."""
-    pairs = _distinct_leaves(rows)
-    several = pairs.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("leaf")
+    distinct = materialize(_distinct(rows), "op9-distinct")
+    pairs = distinct.select("key", F.explode("leaves").alias("leaf"))
+    several = materialize(pairs.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("leaf"), "op9-several")
     within = materialize(pairs.join(several.hint("merge"), "leaf").distinct(), "op9-leaves")
-    tokens = _tokens(rows).join(within.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    tokens = distinct.select("key", "tokens").join(within.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     members = materialize(within.join(tokens.hint("merge"), "key"), "op9-members")
+    release(distinct, several)
     sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     counts = members.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     constant = counts.join(sizes.hint("merge"), "leaf").where(F.col("c") >= DOMINANT * F.col("n")).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
     own = F.filter("constant", lambda x: F.get("tokens", x["at"]) == x["token"])
-    found = members.join(constant.hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
+    found = members.join(materialize(constant, "op9-constant").hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
     templates = materialize(found.select("key", F.xxhash64("leaf", "own").alias("template")), "op9-templates")
-    held = lines.where(F.getbit("fresh", F.lit(0)) == 1).select("id", "h", F.col("keys")[0].alias("key")).join(templates.hint("merge"), "key")
+    held = lines.where("fresh").select("id", "h", "key").join(templates.hint("merge"), "key")
     copies = held.groupBy("template", "id", "h", "key").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
     recurring = copies.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
     return templates.join(recurring.hint("merge"), "template").select("key")
@@ -142,10 +117,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     """A row per row of docs: doc_id, n_lines, n_dropped, kept (the lines that stay)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
     lines = materialize(_lines(rows), "op9-lines")
-    fresh = lines.select(F.explode(F.filter("keys", lambda x, i: F.getbit("fresh", i) == 1)).alias("key"))
-    recurring = fresh.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
+    recurring = lines.where("fresh").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
     recurring = materialize(recurring.unionByName(_generalised(rows, lines, min_docs)).distinct(), "op9-recurring")
-    hits = lines.select("id", "h", "line", F.explode("keys").alias("key")).join(recurring.hint("merge"), "key")
+    hits = lines.select("id", "h", "line", "key").join(recurring.hint("merge"), "key")
     gone = materialize(hits.groupBy("id", "h").agg(F.collect_set("line").alias("gone")), "op9-dropped")
 
     def cut(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
