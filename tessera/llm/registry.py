@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op4_chat_format": chat_format.ORACLE_SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op3_license_scan": license_scan.ORACLE_SQL,
+        "op4_chat_format": chat_format.ORACLE_SQL,
+        "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    }
