@@ -234,16 +234,15 @@ def test_decontamination_limit_is_implied(n):
 
 def test_url_training_by_rules(spark, monkeypatch):
     """No host holds a seed term: rule-blocked URLs alone train the rejected model, each once however often it is repeated."""
-    samples = []
-    broadcast = type(spark.sparkContext).broadcast
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: samples.append(value) or broadcast(sc, value))
+    samples, fit = [], url_filter.Markov.__init__
+    monkeypatch.setattr(url_filter.Markov, "__init__", lambda model, urls, *more: samples.append(urls) or fit(model, urls, *more))
     good = [f"http://library{k}.edu/catalogue/{k * 37}" for k in range(300)]
     blocked = [f"http://win{k}.com/en/bonus-jackpot-{k}" for k in range(300)]
     unruled = [f"http://win{k}.org/bonus-jackpot-{k}" for k in range(20)]
     urls = good * 2 + blocked * 3 + unruled
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r for r in url_filter.url_filter(pages, loss=0.1).collect()}
-    accepted, rejected = samples[0]
+    accepted, rejected = samples
     assert len(got) == len(urls) and len(set(accepted)) == len(accepted) and len(set(rejected)) == len(rejected)
     assert set(rejected) <= set(blocked) and len(rejected) > 200 and not set(accepted) & set(blocked)
     assert sum(got[i].verdict == "allow" for i in range(600)) >= 0.95 * 600
