@@ -18,6 +18,7 @@ take part; an empty table gives an empty result; other columns, whatever their n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from tessera.llm.words import U, batches, mix, span_hashes, word_hashes
 
 LEADING, MIN_DOCS = 2, 3
 ANCHORS, DOMINANT, CONSTANT = 4, 0.5, 0.5
+#: Lines of a leaf that one task counts.
+LEAF_PART = 50_000
 VARIABLE = U(0x2545F4914F6CDD1D)
 
 
@@ -72,40 +75,51 @@ def line_leaves(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    """key (first template of a line), leaves, tokens (half of each hash): distinct lines of each batch."""
+    """key (first template of a line), held (documents), leaves, tokens (half of each hash): distinct lines of each batch."""
 
     def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches(arrow, 4 << 20):
-            lines = list({line for t in texts for line in t.split(b"\n")})
-            words, bounds = word_hashes(lines, VARIABLE)
-            key = line_templates(words, bounds)
-            some = np.unique(key, return_index=True)[1]
-            some = some[np.diff(bounds)[some] > 2]
+        for _, texts in batches(arrow, 2 << 20):
+            held = Counter(line for t in texts for line in set(t.split(b"\n")))
+            words, bounds = word_hashes(list(held), VARIABLE)
+            key, some, place = np.unique(line_templates(words, bounds), return_index=True, return_inverse=True)
+            many = np.bincount(place, weights=np.fromiter(held.values(), np.int64, len(held)), minlength=len(key)).astype(np.int64)
+            long = np.diff(bounds)[some] > 2
+            key, some, many = key[long], some[long], many[long]
             n = np.diff(bounds)[some]
-            ends = np.cumsum(n)
-            own = words[np.repeat(bounds[some] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.append(0, ends)
+            cuts = np.append(0, np.cumsum(n))
+            own = words[np.repeat(bounds[some] - cuts[:-1], n) + np.arange(cuts[-1])]
             leaf, count = line_leaves(own, cuts)
             listed = lambda cuts, values: pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), listed(np.append(0, np.cumsum(count)), leaf.view(np.int64)), listed(cuts, (own >> U(32)).astype(np.uint32).view(np.int32))], names=["key", "leaves", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many), listed(np.append(0, np.cumsum(count)), leaf.view(np.int64)), listed(cuts, (own >> U(32)).astype(np.uint32).view(np.int32))], names=["key", "held", "leaves", "tokens"])
 
-    return rows.select("id", "text").mapInArrow(parse, "key long, leaves array<long>, tokens array<int>")
+    return rows.select("id", "text").mapInArrow(parse, "key long, held long, leaves array<long>, tokens array<int>")
+
+
+def _constants(members: DataFrame) -> DataFrame:
+    """leaf, constant: places and tokens that at least DOMINANT of the leaf's lines have. Lines are dealt to tasks by
+    leaf, those of a large leaf by parts of it, so that only large leaves have counts to be added up."""
+    sizes = materialize(members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "op9-sizes")
+    dealt = members.join(sizes.hint("merge"), "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / LEAF_PART)))
+    dealt = dealt.repartition("leaf", "part").select("leaf", "part", "n", F.posexplode("tokens").alias("at", "token"))
+    enough = F.col("c") >= DOMINANT * F.col("n")
+    counts = dealt.groupBy("leaf", "part", "n", "at", "token").agg(F.count(F.lit(1)).alias("c")).where((F.col("n") > LEAF_PART) | enough)
+    counts = counts.groupBy("leaf", "n", "at", "token").agg(F.sum("c").alias("c")).where(enough)
+    return materialize(counts.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant")), "op9-constant")
 
 
 def _generalised(rows: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     """key: the first templates of lines that have a recurring template of a leaf."""
     distinct = materialize(_distinct(rows), "op9-distinct")
-    pairs = distinct.select("key", F.explode("leaves").alias("leaf"))
-    several = materialize(pairs.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("leaf"), "op9-several")
-    within = materialize(pairs.join(several.hint("merge"), "leaf").distinct(), "op9-leaves")
+    pairs = distinct.select("key", "held", F.explode("leaves").alias("leaf"))
+    # No template of a leaf can recur if the leaf has but one line, or lines of fewer documents.
+    several = pairs.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("held").alias("held"))
+    several = materialize(several.where((F.col("lo") != F.col("hi")) & (F.col("held") >= min_docs)).select("leaf"), "op9-several")
+    within = materialize(pairs.select("key", "leaf").join(several.hint("merge"), "leaf").distinct(), "op9-leaves")
     tokens = distinct.select("key", "tokens").join(within.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     members = materialize(within.join(tokens.hint("merge"), "key"), "op9-members")
-    release(distinct, several)
-    sizes = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    counts = members.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    constant = counts.join(sizes.hint("merge"), "leaf").where(F.col("c") >= DOMINANT * F.col("n")).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
+    release(distinct, several, within)
     own = F.filter("constant", lambda x: F.get("tokens", x["at"]) == x["token"])
-    found = members.join(materialize(constant, "op9-constant").hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
+    found = members.join(_constants(members).hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
     templates = materialize(found.select("key", F.xxhash64("leaf", "own").alias("template")), "op9-templates")
     held = lines.where("fresh").select("id", "h", "key").join(templates.hint("merge"), "key")
     copies = held.groupBy("template", "id", "h", "key").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
