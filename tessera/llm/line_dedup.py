@@ -18,12 +18,11 @@ take part; an empty table gives an empty result; other columns, whatever their n
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, release, table, text_or_empty
@@ -44,26 +43,6 @@ def line_templates(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(branch + span_hashes(words, starts, ends)), U(0))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """id, h, line (place), key, fresh (whether no earlier line of the document has the key)."""
-
-    def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, texts in batches(arrow, 4 << 20):
-            split = [t.split(b"\n") for t in texts]
-            key = line_templates(*word_hashes([line for x in split for line in x], VARIABLE))
-            many = np.array([len(x) for x in split])
-            of = np.repeat(np.arange(len(split)), many)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            fresh = np.zeros(len(key), bool)
-            fresh[np.unique(mix(key + mix(of.astype(U) + U(1))), return_index=True)[1]] = True
-            some = np.flatnonzero(key)
-            ids, hs = pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())
-            at = pa.array(of[some])
-            yield pa.RecordBatch.from_arrays([ids.take(at), hs.take(at), pa.array(place[some].astype(np.int32)), pa.array(key[some].view(np.int64)), pa.array(fresh[some])], names=["id", "h", "line", "key", "fresh"])
-
-    return rows.mapInArrow(parse, "id long, h long, line int, key long, fresh boolean")
-
-
 def line_leaves(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaves of lines of three words and more, and how many each has. Short lines have as many as they have adjacent pairs."""
     start, n = bounds[:-1], np.diff(bounds)
@@ -74,25 +53,47 @@ def line_leaves(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return leaf[np.arange(ANCHORS) < count[:, None]], count
 
 
-def _distinct(rows: DataFrame) -> DataFrame:
-    """key (first template of a line), held (documents), leaves, tokens (half of each hash): distinct lines of each batch."""
+def _lines(rows: DataFrame) -> DataFrame:
+    """id, h, line (place), key, fresh (whether no earlier line of the document has the key). The first line of a batch with
+    a key, if it has three words or more, also has held (how many documents of the batch hold the key), leaves, and tokens
+    (four bytes of each hash)."""
 
     def parse(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches(arrow, 2 << 20):
-            held = Counter(line for t in texts for line in set(t.split(b"\n")))
-            words, bounds = word_hashes(list(held), VARIABLE)
-            key, some, place = np.unique(line_templates(words, bounds), return_index=True, return_inverse=True)
-            many = np.bincount(place, weights=np.fromiter(held.values(), np.int64, len(held)), minlength=len(key)).astype(np.int64)
-            long = np.diff(bounds)[some] > 2
-            key, some, many = key[long], some[long], many[long]
-            n = np.diff(bounds)[some]
-            cuts = np.append(0, np.cumsum(n))
-            own = words[np.repeat(bounds[some] - cuts[:-1], n) + np.arange(cuts[-1])]
+        for names, texts in batches(arrow, 2 << 20):
+            split = [t.split(b"\n") for t in texts]
+            words, bounds = word_hashes([line for x in split for line in x], VARIABLE)
+            key, n = line_templates(words, bounds), np.diff(bounds)
+            many = np.array([len(x) for x in split])
+            of = np.repeat(np.arange(len(split)), many)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            fresh = np.zeros(len(key), bool)
+            fresh[np.unique(mix(key + mix(of.astype(U) + U(1))), return_index=True)[1]] = True
+            _, some, kind = np.unique(key, return_index=True, return_inverse=True)
+            held, first = np.bincount(kind, weights=fresh).astype(np.int64)[kind], np.zeros(len(key), bool)
+            first[some] = True
+            first &= n > 2
+            cuts = np.append(0, np.cumsum(n[first]))
+            own = words[np.repeat(bounds[:-1][first] - cuts[:-1], n[first]) + np.arange(cuts[-1])]
             leaf, count = line_leaves(own, cuts)
-            listed = lambda cuts, values: pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(many), listed(np.append(0, np.cumsum(count)), leaf.view(np.int64)), listed(cuts, (own >> U(32)).astype(np.uint32).view(np.int32))], names=["key", "held", "leaves", "tokens"])
+            tokens = (own >> U(32)).astype("<u4").tobytes()
+            whole, wide = np.flatnonzero(n > 0), np.zeros(len(key), np.int64)
+            wide[first] = count
+            absent = pa.array(~first[whole])
+            leaves = pa.ListArray.from_arrays(np.append(0, np.cumsum(wide[whole])).astype(np.int32), pa.array(leaf.view(np.int64)), mask=absent)
+            wide[first] = 4 * n[first]
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(whole), [None, pa.py_buffer(np.append(0, np.cumsum(wide[whole])).astype(np.int32)), pa.py_buffer(tokens)])
+            ids, hs = pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())
+            at = pa.array(of[whole])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(at), hs.take(at), pa.array(place[whole].astype(np.int32)), pa.array(key[whole].view(np.int64)), pa.array(fresh[whole]), pa.array(held[whole], mask=~first[whole]), leaves, blobs],
+                names=["id", "h", "line", "key", "fresh", "held", "leaves", "tokens"],
+            )
+
+    return rows.mapInArrow(parse, "id long, h long, line int, key long, fresh boolean, held long, leaves array<long>, tokens binary")
+
 
-    return rows.select("id", "text").mapInArrow(parse, "key long, held long, leaves array<long>, tokens array<int>")
+def _token(at) -> Column:
+    return F.substring("tokens", 4 * at + 1, F.lit(4))
 
 
 def _constants(members: DataFrame) -> DataFrame:
@@ -100,16 +101,17 @@ def _constants(members: DataFrame) -> DataFrame:
     leaf, those of a large leaf by parts of it, so that only large leaves have counts to be added up."""
     sizes = materialize(members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "op9-sizes")
     dealt = members.join(sizes.hint("merge"), "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / LEAF_PART)))
-    dealt = dealt.repartition("leaf", "part").select("leaf", "part", "n", F.posexplode("tokens").alias("at", "token"))
+    dealt = dealt.repartition("leaf", "part").withColumn("at", F.explode(F.expr("sequence(0, cast(length(tokens) div 4 as int) - 1)")))
+    dealt = dealt.select("leaf", "part", "n", "at", _token(F.col("at")).alias("token"))
     enough = F.col("c") >= DOMINANT * F.col("n")
     counts = dealt.groupBy("leaf", "part", "n", "at", "token").agg(F.count(F.lit(1)).alias("c")).where((F.col("n") > LEAF_PART) | enough)
     counts = counts.groupBy("leaf", "n", "at", "token").agg(F.sum("c").alias("c")).where(enough)
     return materialize(counts.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant")), "op9-constant")
 
 
-def _generalised(rows: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+def _generalised(lines: DataFrame, min_docs: int) -> DataFrame:
     """key: the first templates of lines that have a recurring template of a leaf."""
-    distinct = materialize(_distinct(rows), "op9-distinct")
+    distinct = lines.where("held is not null")
     pairs = distinct.select("key", "held", F.explode("leaves").alias("leaf"))
     # No template of a leaf can recur if the leaf has but one line, or lines of fewer documents.
     several = pairs.groupBy("leaf").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("held").alias("held"))
@@ -117,9 +119,9 @@ def _generalised(rows: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     within = materialize(pairs.select("key", "leaf").join(several.hint("merge"), "leaf").distinct(), "op9-leaves")
     tokens = distinct.select("key", "tokens").join(within.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     members = materialize(within.join(tokens.hint("merge"), "key"), "op9-members")
-    release(distinct, several, within)
-    own = F.filter("constant", lambda x: F.get("tokens", x["at"]) == x["token"])
-    found = members.join(_constants(members).hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
+    release(several, within)
+    own = F.filter("constant", lambda x: _token(x["at"]) == x["token"])
+    found = members.join(_constants(members).hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.length("tokens") / 4)
     templates = materialize(found.select("key", F.xxhash64("leaf", "own").alias("template")), "op9-templates")
     held = lines.where("fresh").select("id", "h", "key").join(templates.hint("merge"), "key")
     copies = held.groupBy("template", "id", "h", "key").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
@@ -132,7 +134,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"), text_or_empty(text_col).alias("text"))
     lines = materialize(_lines(rows), "op9-lines")
     recurring = lines.where("fresh").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
-    recurring = materialize(recurring.unionByName(_generalised(rows, lines, min_docs)).distinct(), "op9-recurring")
+    recurring = materialize(recurring.unionByName(_generalised(lines, min_docs)).distinct(), "op9-recurring")
     hits = lines.select("id", "h", "line", "key").join(recurring.hint("merge"), "key")
     gone = materialize(hits.groupBy("id", "h").agg(F.collect_set("line").alias("gone")), "op9-dropped")
 
