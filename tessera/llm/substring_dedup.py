@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, reclaim, table, text_or_empty
-from tessera.llm.words import U, batches, inside, window_hashes, word_hashes
+from tessera.llm.words import U, batches, give_back, inside, window_hashes, word_hashes
 
 WINDOW = 35
 #: Bytes of text that are hashed, sorted and packed together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Entries in a bucket, about: what one task compares.
 BUCKET_ENTRIES = 2_000_000
 PACKED = "bucket long, batch string, n long, hashes binary, checks binary, places binary, docs binary"
@@ -118,6 +118,8 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
             if bounds[i] < bounds[i + 1]:
                 places = np.sort(coded[hit[bounds[i] : bounds[i + 1]]] >> 1)
                 out.append((own["batch"][i], _squeeze(np.diff(places, prepend=0).astype("<u4")), b""))
+        del hashes, checks, coded, of, order, hit
+        give_back()
     return pd.DataFrame(out, columns=["batch", "places", "docs"])
 
 

@@ -6,7 +6,11 @@ Hashes are polynomials modulo 2^64 of mixed values, mixed again; they depend on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _R, _S = U(0x9E3779B97F4A7C15 | 1), U(0xD1342543DE82EF95)
@@ -116,3 +120,11 @@ def batches(arrow_batches, most_bytes: int):
             held += len(data) + 1
     if texts:
         yield rows, texts
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: idle workers would keep it, beside those that run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
