@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from tessera.operators.kernels import correlate
+
 ROOT2 = math.sqrt(2.0)
 
 
@@ -21,24 +23,13 @@ def scales(least_radius: float | None, most_radius: float | None, steps: int = 8
     return [low + (high - low) * k / (steps - 1) for k in range(steps)]
 
 
-def _along(image: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
-    """Correlation along an axis, with half-sample symmetric edges."""
-    reach, n = len(taps) // 2, image.shape[axis]
-    at = np.arange(-reach, n + reach) % (2 * n)
-    padded = image.take(np.where(at < n, at, 2 * n - 1 - at), axis=axis)
-    out = np.zeros_like(image)
-    for k, w in enumerate(taps):
-        out += w * padded.take(np.arange(k, k + n), axis=axis)
-    return out
-
-
 def response(image: np.ndarray, sigma: float) -> np.ndarray:
     """Minus sigma squared times the Laplacian of the Gaussian-blurred image; kernels end at four sigmas."""
     x = np.arange(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1)
     blur = np.exp(-0.5 * (x / sigma) ** 2)
     blur /= blur.sum()
     bend = blur * (x * x / sigma**4 - 1 / sigma**2)
-    return -(sigma**2) * (_along(_along(image, bend, 0), blur, 1) + _along(_along(image, blur, 0), bend, 1))
+    return -(sigma**2) * (correlate(correlate(image, bend, 0), blur, 1) + correlate(correlate(image, blur, 0), bend, 1))
 
 
 def peaks(stack: np.ndarray, threshold: float) -> np.ndarray:
@@ -61,6 +52,25 @@ def overlap(r: float, others: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return np.where(distance >= small + large, 0.0, np.where(distance <= large - small, 1.0, lens))
 
 
+def find(image: np.ndarray, sigmas: list[float], threshold: float = 0.035, most_overlap: float = 0.55) -> np.ndarray:
+    """Row, column, radius and response of the blobs of an image. A blob is compared with kept ones that may reach it: those
+    in the squares, of the largest diameter, around it."""
+    stack = np.stack([response(image, s) for s in sigmas])
+    found = peaks(stack, threshold)
+    strength = stack[tuple(found.T)]
+    order = np.lexsort((found[:, 2], found[:, 1], -strength, -found[:, 0]))
+    side = 2 * ROOT2 * max(sigmas)
+    kept: dict[tuple[int, int], list] = {}
+    out = []
+    for (k, y, x), s in zip(found[order].tolist(), strength[order].tolist(), strict=True):
+        r, cell = sigmas[k] * ROOT2, (int(y // side), int(x // side))
+        near = np.array([b for i in (-1, 0, 1) for j in (-1, 0, 1) for b in kept.get((cell[0] + i, cell[1] + j), ())]).reshape(-1, 3)
+        if not (overlap(r, near[:, 2], np.hypot(near[:, 0] - y, near[:, 1] - x)) > most_overlap).any():
+            kept.setdefault(cell, []).append((y, x, r))
+            out.append((y, x, r, s))
+    return np.array(out).reshape(-1, 4)
+
+
 def log_blobs(pixels: DataFrame, by: str, value: str, sigmas: list[float], threshold: float = 0.035, most_overlap: float = 0.55) -> DataFrame:
     """by, prow, pcol, radius (sigma times the root of 2) and response of each blob.
 
@@ -71,27 +81,14 @@ def log_blobs(pixels: DataFrame, by: str, value: str, sigmas: list[float], thres
     rows = pixels.select(by, F.col("prow").cast("int").alias("prow"), F.col("pcol").cast("int").alias("pcol"), F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v"))
     schema = StructType([rows.schema[by], StructField("prow", IntegerType()), StructField("pcol", IntegerType()), StructField("radius", DoubleType()), StructField("response", DoubleType())])
 
-    def find(key: tuple, table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         row, col = table["prow"].to_numpy(), table["pcol"].to_numpy()
         top, left = int(row.min()), int(col.min())
         image = np.full((int(row.max()) - top + 1, int(col.max()) - left + 1), -np.inf)
         np.maximum.at(image, (row - top, col - left), table["v"].to_numpy())
         image[np.isneginf(image)] = 0.0
-        stack = np.stack([response(image, s) for s in sigmas])
-        found = peaks(stack, threshold)
-        strength = stack[tuple(found.T)]
-        found = found[np.lexsort((found[:, 2], found[:, 1], -strength, -found[:, 0]))]
-        kept = np.empty((len(found), 3))
-        n = 0
-        for k, y, x in found:
-            r = sigmas[k] * ROOT2
-            have = kept[:n]
-            if not (overlap(r, have[:, 2], np.hypot(have[:, 0] - y, have[:, 1] - x)) > most_overlap).any():
-                kept[n] = y, x, r
-                found[n] = k, y, x
-                n += 1
-        found = found[:n]
-        columns = [pa.array([key[0].as_py()] * n, table.schema.field(by).type), pa.array(found[:, 1] + top, pa.int32()), pa.array(found[:, 2] + left, pa.int32()), pa.array(kept[:n, 2]), pa.array(stack[tuple(found.T)])]
+        found = find(image, sigmas, threshold, most_overlap)
+        columns = [pa.array([key[0].as_py()] * len(found), table.schema.field(by).type), pa.array(found[:, 0].astype(np.int32) + top, pa.int32()), pa.array(found[:, 1].astype(np.int32) + left, pa.int32()), pa.array(found[:, 2]), pa.array(found[:, 3])]
         return pa.Table.from_arrays(columns, names=schema.names)
 
-    return rows.groupBy(by).applyInArrow(find, schema)
+    return rows.groupBy(by).applyInArrow(run, schema)

@@ -4,33 +4,33 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tessera.operators import stats, stencils
-from tessera.operators.state import materialize
+from tessera.operators import kernels as K
+from tessera.operators import stencils
+from tessera.operators.tiles import Tile, map_tiles
 
 
-def response_image(pixels: DataFrame, by: str, value: str, mask: str, small: float, large: float, side: int, blur_distance: float | None) -> DataFrame:
-    """Adds response: rescaled difference of two blurs, 0 off the mask, and the rescaled (blurred) distance to the
-    edge of the mask, weighted and rescaled over the whole tile."""
-    base = materialize(pixels.select(by, "prow", "pcol", F.col(value).cast("double").alias("_v"), F.col(mask).alias("_m")), "base")
-    fine = stencils.gaussian(base, by, "_v", small, side).withColumnRenamed("_v", "_fine")
-    coarse = stencils.gaussian(base.drop("_m"), by, "_v", large, side).withColumnRenamed("_v", "_coarse")
-    dist = stencils.distance_transform(base.drop("_v"), by, "_m").select(by, "prow", "pcol", F.coalesce("dist", F.lit(0.0)).alias("_d"))
-    if blur_distance:
-        dist = stencils.gaussian(dist, by, "_d", blur_distance, side)
-    key = [by, "prow", "pcol"]
-    fine, coarse, dist = (materialize(x, "part") for x in (fine, coarse, dist))
-    all_ = fine.join(coarse, key).join(dist, key).withColumn("_diff", F.when(F.col("_m"), F.col("_fine") - F.col("_coarse")).otherwise(0.0))
-    parts = stats.rescale(all_, by, {"_a": F.col("_diff"), "_b": F.col("_d")})
-    # The weights of contrast and distance.
-    mixed = F.when(F.col("_m"), 0.72 * F.col("_a") + 0.28 * F.col("_b")).otherwise(0.0)
-    return stats.rescale(parts, by, {"response": mixed}).select(*key, F.col("_m").alias(mask), "response")
+def response_image(pixels: DataFrame, by: str, value: str, mask: str, small: float, large: float, blur: float | None, weights: tuple[float, float] = (0.72, 0.28)) -> DataFrame:
+    """by, prow, pcol, the mask and response: contrast of two blurs (0 off the mask) and (blurred) distance to the mask's edge,
+    each rescaled, weighted, and rescaled over the whole tile."""
+
+    def run(t: Tile) -> dict:
+        image, m = t.image(value), t.mask(mask)
+        far = K.distance(m)
+        far = np.where(np.isfinite(far), far, 0.0)
+        far = K.gaussian(far, blur) if blur else far
+        contrast = np.where(m, K.gaussian(image, small) - K.gaussian(image, large), 0.0)
+        return {"response": K.rescale(np.where(m, weights[0] * K.rescale(contrast) + weights[1] * K.rescale(far), 0.0))}
+
+    return map_tiles(pixels.select(by, "prow", "pcol", mask, value), by, run, {"response": DoubleType()}).drop(value)
 
 
 def patch_features(patches: DataFrame, values: str, side: int) -> DataFrame:
-    """Mean, deviation, quartiles, centre and contrast (inner minus outer square) of square patches held as arrays.
+    """Mean, deviation, quartiles, centre and contrast (inner square less the whole) of square patches held as arrays.
     All by functions on arrays: no shuffle. An empty or null patch has null features."""
     n, half = side * side, side // 4
     v = F.transform(F.col(values), lambda x: x.cast("double"))
@@ -47,11 +47,20 @@ def patch_features(patches: DataFrame, values: str, side: int) -> DataFrame:
     rows = rows.withColumns({"mean": total(F.col("_v")) / n, "_in": inner})
     rows = rows.withColumns({
         "std": F.sqrt(total(F.transform("_v", lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / n), "p25": quantile(0.25), "p75": quantile(0.75),
-        "center": F.get("_v", F.lit((side // 2) * side + side // 2)), "contrast": F.col("_in") / len(inside) - (F.col("mean") * n - F.col("_in")) / (n - len(inside)),
+        "center": F.get("_v", F.lit((side // 2) * side + side // 2)), "contrast": F.col("_in") / len(inside) - F.col("mean"),
     })
     return rows.drop("_v", "_s", "_in")
 
 
+def gather_at(points: DataFrame, pixels: DataFrame, by: str, value: str) -> DataFrame:
+    """points (by, x, y and others) with the value of the pixel nearest to each (halves to even), clipped to the tile's rows and
+    columns; null where that pixel is missing."""
+    ends = pixels.groupBy(by).agg(*[f(c).alias(f"_{n}{c}") for c in ("prow", "pcol") for n, f in (("lo", F.min), ("hi", F.max))])
+    clip = lambda c, axis: F.least(F.greatest(F.bround(F.col(c).cast("double")).cast("int"), F.col(f"_lo{axis}")), F.col(f"_hi{axis}"))
+    at = points.join(ends, by).withColumns({"prow": clip("y", "prow"), "pcol": clip("x", "pcol")})
+    return at.join(pixels.select(by, "prow", "pcol", value), [by, "prow", "pcol"], "left").select(*points.columns, value)
+
+
 def component_candidates(pixels: DataFrame, by: str, mask: str, least: int, most: float) -> DataFrame:
     """Centroid and equivalent radius of the components within the size range, with a constant score."""
     sizes = stencils.label(pixels, by, mask).groupBy(by, "label").agg(F.count(F.lit(1)).alias("size"), F.avg("prow").alias("y"), F.avg("pcol").alias("x"))
@@ -69,22 +78,6 @@ def best_of(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> Data
     return df.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def propose(pixels: DataFrame, by: str, side: int, radius: float, floor: float = 0.28) -> DataFrame:
-    """Candidates of each tile: mask, opening and closing, small parts and holes, response, peaks, area range,
-    and the best peak of each component. pixels: by, prow, pcol, m, and the veg index."""
-    least = max(6, int(math.pi * (0.45 * radius) ** 2))
-    # Each step reads its input twice, so it is written between steps: else the plan doubles with every one.
-    m = materialize(stencils.opening(pixels.select(by, "prow", "pcol", "m"), by, "m", 1), "opened")
-    m = materialize(stencils.closing(m, by, "m", 1), "closed")
-    m = materialize(stencils.fill_holes(materialize(stencils.drop_small(m, by, "m", least), "large"), by, "m", max(8, least)), "mask")
-    r = response_image(m.select(by, "prow", "pcol", "m").join(pixels.select(by, "prow", "pcol", "veg"), [by, "prow", "pcol"]), by, "veg", "m", max(1.0, 0.22 * radius), max(1.5, 0.95 * radius), side, None)
-    r = materialize(r, "response")
-    peaks = stencils.local_maxima(r, by, "response", max(2, round(0.8 * radius)), floor).where("m").select(by, "prow", "pcol", "response")
-    found = peaks_in_components(peaks, stencils.label(m, by, "m"), by)
-    area = math.pi * radius * radius
-    return best_of(found.where(F.col("size").between(0.18 * area, 4.5 * area)), [by, "label"], "response", ["prow", "pcol"])
-
-
 def marks_by_tile(points: DataFrame, size: int, width: int, height: int) -> DataFrame:
     """Each point (id, x, y, r) once for every tile its circle's box reaches, in the tile's own pixels: an explode by arithmetic."""
     axis = lambda c, extent: F.sequence(F.greatest(F.floor((F.col(c) - F.col("r")) / size), F.lit(0)), F.least(F.floor((F.col(c) + F.col("r")) / size), F.lit((extent - 1) // size)))

@@ -24,3 +24,16 @@ def hashed_rank(df: DataFrame, by: str, key: Column, digits: int = 4) -> DataFra
 def stratified_split(df: DataFrame, by: str, key: Column, share: float) -> DataFrame:
     """Adds test: true for the given share of each group, rounded, chosen by hash."""
     return hashed_rank(df, by, key).withColumn("test", F.col("rank") <= F.round(share * F.col("many"))).drop("rank", "many")
+
+
+def sequential_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Adds name: 1, 2, 3 and so on in the order of the columns given, which are to tell all rows apart. Rows are sorted in
+    ranges; each range counts its own, and the driver's table of the ranges' sizes says where each begins."""
+    from tessera.operators.state import materialize
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    ranged = materialize(ranged.withColumn("_row", F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
-from tessera.functions import spectral as S
+from tessera.operators import kernels as K
 
 
 def finite(c: Column) -> Column:
@@ -17,51 +22,50 @@ def percentiles(df: DataFrame, by: str, value: Column, shares: list[float], name
     return df.where(finite(v)).groupBy(by).agg(F.percentile(v, F.array(*map(F.lit, shares))).alias(name))
 
 
+def _grouped(df: DataFrame, adds: dict[str, DataType], by: str, f: Callable[[pa.Table], dict[str, np.ndarray]]) -> DataFrame:
+    """df with the columns that f makes of each group; one exchange, and a group (a tile of fixed size) in one task."""
+    kept = [x for x in df.schema.fields if x.name not in adds]
+
+    def run(table: pa.Table) -> pa.Table:
+        out, made = table.select([x.name for x in kept]), f(table)
+        for n in adds:
+            out = out.append_column(n, pa.array(made[n]))
+        return out
+
+    return df.groupBy(by).applyInArrow(run, StructType([*kept, *[StructField(n, t) for n, t in adds.items()]]))
+
+
+def _values(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].cast(pa.float64()).to_numpy().astype(float)
+
+
 def rescale(df: DataFrame, by: str, values: dict[str, Column], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Adds a column for each value: stretched between its percentiles in the tile, clipped to 0 and 1; 0 where there is no range.
-    All percentiles come from one aggregation."""
-    v = {k: c.cast("double") for k, c in values.items()}
-    limits = df.groupBy(by).agg(*[F.percentile(F.when(finite(c), c), F.array(F.lit(low), F.lit(high))).alias(f"_{k}") for k, c in v.items()])
-    out = df.join(limits, by)
-    for k, c in v.items():
-        lo, hi = F.col(f"_{k}")[0], F.col(f"_{k}")[1]
-        out = out.withColumn(k, F.coalesce(F.when(hi > lo, F.least(F.greatest(F.try_divide(c - lo, hi - lo), F.lit(0.0)), F.lit(1.0))), F.lit(0.0)))
-    return out.drop(*[f"_{k}" for k in v])
+    """Adds a column for each value: stretched between its percentiles in the tile, clipped to 0 and 1; 0 where there is no
+    range or no number."""
+    rows, names = df.withColumns({k: c.cast("double") for k, c in values.items()}), list(values)
+    return _grouped(rows, {k: DoubleType() for k in names}, by, lambda t: {k: K.rescale(_values(t, k), low, high) for k in names})
 
 
-def weighted(df: DataFrame, by: str, parts: dict[str, tuple[float, Column]]) -> DataFrame:
-    """Adds veg: rescaled parts, weighted, added up and rescaled again."""
-    inner = rescale(df, by, {f"_r_{k}": c for k, (_, c) in parts.items()})
-    total = sum((w * F.col(f"_r_{k}") for k, (w, _) in parts.items()), F.lit(0.0))
-    return rescale(inner, by, {"veg": total}).drop(*[f"_r_{k}" for k in parts])
+def _indexed(df: DataFrame, by: str, kind: str, bands: tuple[str, ...]) -> DataFrame:
+    return _grouped(df, {"veg": DoubleType()}, by, lambda t: {"veg": K.vegetation(kind, *(_values(t, b) for b in bands))})
 
 
-# The weights of the vegetation indices.
 def veg_index_rgb(df: DataFrame, by: str = "tile_id") -> DataFrame:
-    return weighted(df, by, {"exg": (0.50, S.exg()), "gli": (0.35, S.gli()), "contrast": (0.15, S.green_dominance() - 0.15 * S.brightness())})
+    return _indexed(df, by, "rgb", ("red", "green", "blue"))
 
 
 def veg_index_nir(df: DataFrame, by: str = "tile_id") -> DataFrame:
-    return weighted(df, by, {"ndvi": (0.75, S.ndvi()), "exg": (0.25, S.exg())})
+    return _indexed(df, by, "nir", ("red", "green", "blue", "nir"))
 
 
 def veg_index_young(df: DataFrame, by: str = "tile_id") -> DataFrame:
-    return weighted(df, by, {"exg": (0.46, S.exg()), "gli": (0.34, S.gli()), "dominance": (0.14, S.green_dominance()), "saturation": (0.06, S.saturation())})
+    return _indexed(df, by, "young", ("red", "green", "blue"))
 
 
 def otsu(df: DataFrame, by: str, value: str, bins: int = 256) -> DataFrame:
     """Threshold by tile: the bin centre that separates two classes best, the lowest of equals; a constant is its own threshold."""
-    span = df.groupBy(by).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    k = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")) * bins).cast("int"), F.lit(bins - 1))).otherwise(0)
-    counts = df.join(span, by).groupBy(by, "lo", "hi", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    centre = F.col("lo") + (F.col("k") + 0.5) * (F.col("hi") - F.col("lo")) / bins
-    counts = counts.withColumn("centre", centre)
-    up, down = Window.partitionBy(by).orderBy("k"), Window.partitionBy(by).orderBy("k").rowsBetween(1, Window.unboundedFollowing)
-    sums = counts.withColumns({"w1": F.sum("n").over(up), "s1": F.sum(F.col("n") * F.col("centre")).over(up), "w2": F.sum("n").over(down), "s2": F.sum(F.col("n") * F.col("centre")).over(down)})
-    gain = F.col("w1") * F.col("w2") * F.pow(F.try_divide("s1", "w1") - F.try_divide("s2", "w2"), F.lit(2.0))
-    sums = sums.withColumn("gain", F.round(F.coalesce(gain, F.lit(0.0)), 6))
-    best = sums.groupBy(by, "lo", "hi").agg(F.max_by("centre", F.struct("gain", -F.col("k"))).alias("centre"))
-    return best.select(by, F.when(F.col("hi") > F.col("lo"), F.col("centre")).otherwise(F.col("lo")).alias("otsu"))
+    schema = StructType([df.schema[by], StructField("otsu", DoubleType())])
+    return df.select(by, value).where(finite(F.col(value))).groupBy(by).applyInArrow(lambda t: t.select([by]).slice(0, 1).append_column("otsu", pa.array([K.otsu(_values(t, value), bins)])), schema)
 
 
 def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -72,3 +76,11 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     sums = sums.withColumns({"precision": zero(F.try_divide("tp", "predicted")), "recall": zero(F.try_divide("tp", "support"))})
     return sums.select("label", "precision", "recall", zero(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).alias("f1"), "support")
+
+
+def report_averages(report: DataFrame) -> DataFrame:
+    """One row more than classes have figures: accuracy, and the plain and the weighted mean of each figure."""
+    n = F.sum("support")
+    mean = lambda c: F.avg(c).alias(f"macro_{c}")
+    weighted = lambda c: F.try_divide(F.sum(F.col(c) * F.col("support")), n).alias(f"weighted_{c}")
+    return report.agg(F.try_divide(F.sum(F.col("recall") * F.col("support")), n).alias("accuracy"), *[f(c) for f in (mean, weighted) for c in ("precision", "recall", "f1")], n.alias("support"))

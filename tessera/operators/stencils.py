@@ -1,81 +1,51 @@
-"""Neighbourhood operators in relational form: pixels (by, prow, pcol, value) joined with offsets."""
+"""Neighbourhood operators on pixels (by, prow, pcol, value): each image (a tile, by) is one task's work, in one pass.
 
-from __future__ import annotations
+For a raster of any size, tiles.expand_halo() gives every tile the pixels around it that its own results depend
+on; results of pixels that a tile doesn't own are left out by the caller."""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
-
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-def disk(radius: int) -> list[tuple[int, int]]:
-    return [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if x * x + y * y <= radius * radius]
+from tessera.operators import kernels as K
+from tessera.operators.tiles import Tile, map_tiles
 
 
-def square(radius: int) -> list[tuple[int, int]]:
-    return [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1)]
-
-
-def gather(df: DataFrame, by: str, offsets: list[tuple[int, int]], value: str, fold) -> DataFrame:
-    """Adds near: fold over the values at the offsets. Each pixel is sent to its neighbours; one aggregation, no join of pairs."""
-    step = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in offsets]))
-    sent = df.select(by, "prow", "pcol", value).withColumn("o", step).select(by, (F.col("prow") + F.col("o.y")).alias("prow"), (F.col("pcol") + F.col("o.x")).alias("pcol"), value)
-    return df.join(sent.groupBy(by, "prow", "pcol").agg(fold(value).alias("near")), [by, "prow", "pcol"])
+def _present(t: Tile) -> np.ndarray:
+    out = np.zeros(t.shape, bool)
+    out[t.at] = True
+    return out
 
 
-def _each(df: DataFrame, by: str, mask: str, offsets, fold) -> DataFrame:
-    return gather(df, by, offsets, mask, fold).withColumn(mask, F.col("near")).drop("near")
+def _masked(df: DataFrame, by: str, mask: str, f) -> DataFrame:
+    """mask replaced by f(tile). The order of columns is kept."""
+    return map_tiles(df, by, lambda t: {mask: f(t)}, {mask: BooleanType()}).select(df.columns)
 
 
 def erode(df: DataFrame, by: str, mask: str, radius: int) -> DataFrame:
     """Outside the image counts as inside the mask: absent neighbours don't take part."""
-    return _each(df, by, mask, disk(radius), F.bool_and)
+    return _masked(df, by, mask, lambda t: K.erode(t.mask(mask, True), radius))
 
 
 def dilate(df: DataFrame, by: str, mask: str, radius: int) -> DataFrame:
-    return _each(df, by, mask, disk(radius), F.bool_or)
+    return _masked(df, by, mask, lambda t: K.dilate(t.mask(mask), radius))
 
 
 def opening(df: DataFrame, by: str, mask: str, radius: int) -> DataFrame:
-    return dilate(erode(df, by, mask, radius), by, mask, radius)
+    return _masked(df, by, mask, lambda t: K.dilate(K.erode(t.mask(mask, True), radius) & _present(t), radius))
 
 
 def closing(df: DataFrame, by: str, mask: str, radius: int) -> DataFrame:
-    return erode(dilate(df, by, mask, radius), by, mask, radius)
-
-
-def gaussian(df: DataFrame, by: str, value: str, sigma: float, side: Column | int) -> DataFrame:
-    """Separable blur cut at four sigmas, with half-sample symmetric edges. side: rows and columns of the image."""
-    reach = int(4 * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / sum(raw)).alias("w")) for k, w in zip(range(-reach, reach + 1), raw, strict=True)])
-    n = F.lit(side)
-    out = df
-    for axis in ("pcol", "prow"):
-        other = "prow" if axis == "pcol" else "pcol"
-        # Each result cell takes from the mirrored place of every tap.
-        t = F.pmod(F.col(axis) + F.col("t.k"), 2 * n)
-        want = out.select(by, "prow", "pcol").withColumn("t", F.explode(taps)).select(by, "prow", "pcol", F.col("t.w").alias("w"), F.when(t < n, t).otherwise(2 * n - 1 - t).alias("at"))
-        have = out.select(by, F.col(other).alias("_o"), F.col(axis).alias("at"), F.col(value).alias("v"))
-        near = want.withColumn("_o", F.col(other)).join(have, [by, "_o", "at"]).groupBy(by, "prow", "pcol").agg(F.sum(F.col("w") * F.col("v")).alias("_b"))
-        out = out.join(near, [by, "prow", "pcol"]).withColumn(value, F.col("_b")).drop("_b")
-    return out
+    return _masked(df, by, mask, lambda t: K.erode(K.dilate(t.mask(mask), radius) | ~_present(t), radius))
 
 
-def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest node connected with each of n nodes, by the edges a to b: larger roots hook onto smaller ones, then paths are halved."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        open_ = ra != rb
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (root[root] != root).any():
-            root = root[root]
-    return root
+def gaussian(df: DataFrame, by: str, value: str, sigma: float) -> DataFrame:
+    """Separable blur cut at four sigmas, with half-sample symmetric edges; missing pixels count as 0."""
+    return map_tiles(df, by, lambda t: {value: K.gaussian(t.image(value), sigma)}, {value: DoubleType()}).select(df.columns)
 
 
 def label(df: DataFrame, by: str, mask: str) -> DataFrame:
@@ -92,7 +62,7 @@ def label(df: DataFrame, by: str, mask: str) -> DataFrame:
             at = np.searchsorted(nodes, nodes + step)
             here = np.flatnonzero(np.append(nodes, -1)[at] == nodes + step)
             ends.append((here, at[here]))
-        root = _roots(*(np.concatenate(e) for e in zip(*ends, strict=True)), len(nodes))
+        root = K.roots(*(np.concatenate(e) for e in zip(*ends, strict=True)), len(nodes))
         return table.append_column("label", pa.array(nodes[root][node]))
 
     schema = StructType([*cells.schema.fields, StructField("label", LongType())])
@@ -101,27 +71,28 @@ def label(df: DataFrame, by: str, mask: str) -> DataFrame:
 
 def drop_small(df: DataFrame, by: str, mask: str, least: int) -> DataFrame:
     """The mask without components of fewer pixels."""
-    large = label(df, by, mask).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by, "label"))).where(F.col("n") >= least).select(by, "prow", "pcol", F.lit(True).alias("_in"))
-    return df.join(large, [by, "prow", "pcol"], "left").withColumn(mask, F.coalesce("_in", F.lit(False))).drop("_in")
+    return _masked(df, by, mask, lambda t: K.drop_small(t.mask(mask), least))
 
 
 def fill_holes(df: DataFrame, by: str, mask: str, least: int) -> DataFrame:
-    inverse = df.withColumn(mask, ~F.col(mask))
-    return drop_small(inverse, by, mask, least).withColumn(mask, ~F.col(mask))
+    """The mask with holes of fewer pixels filled; missing pixels are no part of a hole."""
+    return _masked(df, by, mask, lambda t: ~K.drop_small(~t.mask(mask, True), least))
+
+
+def local_maxima(df: DataFrame, by: str, value: str, distance: int, floor: float, relative: float = 0.0) -> DataFrame:
+    """Pixels equal to the maximum of the square around them, and above the floor and the relative share of the image's maximum."""
 
+    def top(t: Tile) -> dict:
+        image = np.where(_present(t), t.image(value), -np.inf)
+        return {"_top": (image == K.square_max(image, distance)) & (image > max(floor, relative * image.max()))}
 
-def local_maxima(df: DataFrame, by: str, value: str, distance: int, floor: float) -> DataFrame:
-    """Pixels equal to the maximum of the square around them and above the floor."""
-    return gather(df, by, square(distance), value, F.max).where((F.col(value) == F.col("near")) & (F.col(value) > floor)).drop("near")
+    return map_tiles(df, by, top, {"_top": BooleanType()}).where("_top").drop("_top")
 
 
 def distance_transform(df: DataFrame, by: str, mask: str) -> DataFrame:
-    """Adds dist, the distance of masked pixels to the nearest unmasked one (null if there is none): nearest rows by
-    window, then the least over the columns of the row."""
-    up = Window.partitionBy(by, "pcol").orderBy("prow")
-    down = Window.partitionBy(by, "pcol").orderBy(F.desc("prow"))
-    back = F.when(~F.col(mask), F.col("prow"))
-    g = df.select(by, "prow", "pcol", F.least(F.col("prow") - F.last(back, True).over(up), F.last(back, True).over(down) - F.col("prow")).alias("g")).where("g is not null")
-    rows = df.where(F.col(mask)).select(by, "prow", "pcol").alias("a").join(g.alias("b"), F.expr(f"a.{by} = b.{by} and a.prow = b.prow"))
-    d = rows.groupBy(F.col(f"a.{by}"), F.col("a.prow"), F.col("a.pcol")).agg(F.min(F.expr("(a.pcol - b.pcol) * (a.pcol - b.pcol) + g * g")).alias("d2"))
-    return df.join(d, [by, "prow", "pcol"], "left").withColumn("dist", F.when(F.col(mask), F.sqrt("d2")).otherwise(0.0)).drop("d2")
+    """Adds dist, the distance of masked pixels to the nearest unmasked one of the image (null if there is none)."""
+
+    def far(t: Tile) -> dict:
+        return {"dist": K.distance(t.mask(mask, True))}
+
+    return map_tiles(df, by, far, {"dist": DoubleType()}).withColumn("dist", F.when(F.col("dist") < float("inf"), F.col("dist")))

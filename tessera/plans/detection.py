@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
-from tessera.operators import blobs, detection, forest, ranking, spatial, stats, stencils, tiles, training
-from tessera.plans.fixtures import PTS, PX, REFPTS, SIDE, _read, pts, px, refpts
-from tessera.plans.registry import AFFINE, EX, LABELS, MASK, OVERLAP, PAIRS, TILE, TURNED, _halves, _mask, _r, _sql_rescale, _tiled, query
+from tessera.operators import area, blobs, detection, detectors, forest, ranking, spatial, stats, stencils, tiles, training
+from tessera.operators.state import materialize
+from tessera.plans.fixtures import ORCHARD, PTS, PX, REFPTS, SIDE, _read, diamonds, orchard, pts, px, refpts
+from tessera.plans.registry import AFFINE, BRIGHT, DOM, EX, EXG, GLI, LABELS, MASK, OVERLAP, PAIRS, SAT, TILE, TURNED, _halves, _r, _sql_rescale, _tiled, _tiled_mask, query
 
 CELL = "l // 64 as label_row, l % 64 as label_col"
 
@@ -18,14 +20,14 @@ def _cell(label: str = "label"):
     return F.shiftright(label, 31).cast("int").alias("label_row"), (F.col(label) % (1 << 31)).cast("int").alias("label_col")
 
 
-@query(LABELS.replace("from mk where m)", "from mk where not m)") + ", s as (select *, count(*) over (partition by l) n from lb) select mk.prow, mk.pcol, not coalesce(n >= 4, false) as m from mk left join s on s.prow = mk.prow and s.pcol = mk.pcol")
+@query(LABELS.replace("from mt where m)", "from mt where not m)") + ", s as (select *, count(*) over (partition by tile_id, l) n from lb) select mt.tile_id, mt.prow, mt.pcol, not coalesce(n >= 4, false) as m from mt left join s on s.tile_id = mt.tile_id and s.prow = mt.prow and s.pcol = mt.pcol")
 def q_fill_holes(spark, d):
-    return stencils.fill_holes(_mask(spark, d), "tile_id", "m", 4).select("prow", "pcol", "m")
+    return stencils.fill_holes(_tiled_mask(spark, d), "tile_id", "m", 4).select("tile_id", "prow", "pcol", "m")
 
 
-@query(LABELS + f" select {CELL}, count(*) as size from lb group by l")
+@query(LABELS + f" select cast(tile_id as int) as tile_id, {CELL}, count(*) as size from lb group by tile_id, l")
 def q_component_sizes(spark, d):
-    return stencils.label(_mask(spark, d), "tile_id", "m").groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(*_cell(), "size")
+    return stencils.label(_tiled_mask(spark, d), "tile_id", "m").groupBy("tile_id", "label").agg(F.count(F.lit(1)).alias("size")).select("tile_id", *_cell(), "size")
 
 
 @query(f"with {REFPTS}, p as (select id, (-1.9 * (wx - 10) - 0.6 * (wy - 500)) / (1.8 * -1.9 - 0.6 * 0.5) as x, (1.8 * (wy - 500) - 0.5 * (wx - 10)) / (1.8 * -1.9 - 0.6 * 0.5) as y from refpts) select id, round(x, 6) as x, round(y, 6) as y from p where x >= 0 and x < 200 and y >= 0 and y < 200")
@@ -63,33 +65,43 @@ def q_blob_keep(spark, d):
     return p.join(q, "tile_id").where("score >= floor_ - 1e-9").select("id", "score")
 
 
-_COMPONENTS = "cc as (select avg(pcol) as x, avg(prow) as y, sqrt(count(*) / pi()) * 0.72 as radius, 0.65::double as score from lb group by l having count(*) between 4 and 804)"
-_PEAKS = "pk as (select a.prow, a.pcol, a.green from px a join px b on abs(a.prow - b.prow) <= 2 and abs(a.pcol - b.pcol) <= 2 group by 1, 2, 3 having a.green = max(b.green) and a.green > 100)"
+# Components of the orchard's crowns; the largest kind is beyond the range.
+PLANTED = f"""with recursive {ORCHARD}, mt as (select prow // 48 * 3 + pcol // 48 as tile_id, prow, pcol, green >= 100 as m from orchard), c as (select tile_id * 16384 + prow * 128 + pcol as p, prow, pcol, tile_id from mt where m),
+e as (select a.p, b.p as q from c a join c b on a.tile_id = b.tile_id and abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1),
+w as (select p, p as l from c union select e.q, w.l from w join e on e.p = w.p), lb as (select p // 16384 as tile_id, p % 16384 // 128 as prow, p % 128 as pcol, min(l) as l from w group by p)"""
+_COMPONENTS = "cc as (select avg(pcol) as x, avg(prow) as y, sqrt(count(*) / pi()) * 0.72 as radius, 0.65::double as score from lb group by l having count(*) between 20 and greatest(80, pi() * 23.04))"
+_PEAKS = "pk as (select a.tile_id, a.prow, a.pcol, a.green from ex a join ex b on a.tile_id = b.tile_id and abs(a.prow - b.prow) <= 2 and abs(a.pcol - b.pcol) <= 2 group by 1, 2, 3, 4 having a.green = max(b.green) and a.green > 100)"
+LOOSE = LABELS.replace("red >= 45 as m", "red >= 15 as m")
+
+
+def _loose(spark, d):
+    return tiles.expand(px(spark, d).select("prow", "pcol", (F.col("red") >= 15).alias("m")), SIDE, TILE, OVERLAP)
 
 
 def _components(spark, d):
-    return detection.component_candidates(_mask(spark, d), "tile_id", "m", 4, 804).select(*[_r(F.col(c), c) for c in ("x", "y", "radius", "score")])
+    crowns = tiles.expand(orchard(spark, d).select("prow", "pcol", (F.col("green") >= 100).alias("m")), 120, 48, 0)
+    return detection.component_candidates(crowns, "tile_id", "m", 20, max(80, math.pi * 4.8**2)).select(*[_r(F.col(c), c) for c in ("x", "y", "radius", "score")])
 
 
 def _peaks(spark, d):
-    return stencils.local_maxima(px(spark, d).withColumn("tile_id", F.lit(0)), "tile_id", "green", 2, 100).select("tile_id", "prow", "pcol", "green")
+    return stencils.local_maxima(_tiled(spark, d), "tile_id", "green", 2, 100).select("tile_id", "prow", "pcol", "green")
 
 
-@query(f"{LABELS}, {_COMPONENTS} select round(x, 6) as x, round(y, 6) as y, round(radius, 6) as radius, score from cc")
+@query(f"{PLANTED}, {_COMPONENTS} select round(x, 6) as x, round(y, 6) as y, round(radius, 6) as radius, score from cc")
 def q_calib_candidates(spark, d):
     return _components(spark, d)
 
 
-@query(f"{LABELS}, {_COMPONENTS}, {_PEAKS} select round(x, 6) as x, round(y, 6) as y, round(radius, 6) as radius, score from cc union all select pcol, prow, round(2 * sqrt(2.0::double), 6), round(green / 255.0::double, 6) from pk")
+@query(f"{PLANTED}, {EX}, {_COMPONENTS}, {_PEAKS} select round(x, 6) as x, round(y, 6) as y, round(radius, 6) as radius, score from cc union all select pcol, prow, round(2 * sqrt(2.0::double), 6), round(green / 255.0::double, 6) from pk")
 def q_calib_union(spark, d):
     blobs = _peaks(spark, d).select(F.col("pcol").cast("double").alias("x"), F.col("prow").cast("double").alias("y"), F.lit(round(2 * math.sqrt(2.0), 6)).alias("radius"), _r(F.col("green") / 255.0, "score"))
     return _components(spark, d).unionByName(blobs)
 
 
-@query(f"{LABELS}, {_PEAKS}, z as (select l, count(*) as size from lb group by 1) select pk.prow, pk.pcol, {CELL}, size from pk join lb on lb.prow = pk.prow and lb.pcol = pk.pcol join z using (l)")
+@query(f"{LOOSE}, {_PEAKS}, z as (select tile_id, l, count(*) as size from lb group by 1, 2) select pk.tile_id, pk.prow, pk.pcol, {CELL}, size from pk join lb on lb.tile_id = pk.tile_id and lb.prow = pk.prow and lb.pcol = pk.pcol join z on z.tile_id = lb.tile_id and z.l = lb.l".replace("l // 64", "lb.l // 64").replace("l % 64 as", "lb.l % 64 as"))
 def q_peak_component_join(spark, d):
-    found = detection.peaks_in_components(_peaks(spark, d), stencils.label(_mask(spark, d), "tile_id", "m"), "tile_id")
-    return found.select("prow", "pcol", *_cell(), "size")
+    found = detection.peaks_in_components(_peaks(spark, d), stencils.label(_loose(spark, d), "tile_id", "m"), "tile_id")
+    return found.select("tile_id", "prow", "pcol", *_cell(), "size")
 
 
 @query(f"with {PTS}, r as (select *, row_number() over (partition by tile_id, id % 2 order by score desc, id) k from pts) select tile_id, id from r where k <= 12")
@@ -103,7 +115,7 @@ def q_caps(spark, d):
 @query("""with e as (select vec_id, unnest(embedding) :: double as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings),
 f as (select *, (pos // 8 between 2 and 5) and (pos % 8 between 2 and 5) as inn from e)
 select vec_id, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as std, round(quantile_cont(v, 0.25), 5) as p25, round(quantile_cont(v, 0.75), 5) as p75,
-round(max(case when pos = 36 then v end), 5) as center, round(avg(case when inn then v end) - avg(case when not inn then v end), 5) as contrast from f group by 1""")
+round(max(case when pos = 36 then v end), 5) as center, round(avg(case when inn then v end) - avg(v), 5) as contrast from f group by 1""")
 def q_patch_features(spark, d):
     f = detection.patch_features(_read(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 8)
     return f.select("vec_id", *[_r(F.col(c), c, 5) for c in ("mean", "std", "p25", "p75", "center", "contrast")])
@@ -150,7 +162,7 @@ j as (select 0 as tile_id, prow, pcol, m, case when m then bs.v - bl.v else 0 en
 select prow, pcol, m, round(response, 4) as response from k2""")
 def q_response_image(spark, d):
     p = px(spark, d).select(F.lit(0).alias("tile_id"), "prow", "pcol", "green", (F.col("red") >= 45).alias("m"))
-    return detection.response_image(p, "tile_id", "green", "m", 1.0, 3.0, SIDE, 0.6).select("prow", "pcol", "m", _r(F.col("response"), "response", 4))
+    return detection.response_image(p, "tile_id", "green", "m", 1.0, 3.0, 0.6).select("prow", "pcol", "m", _r(F.col("response"), "response", 4))
 
 
 @query("with r as (select doc_id, quality as label, row_number() over (partition by quality order by md5(cast(doc_id as varchar)), doc_id) k, count(*) over (partition by quality) n from labels) select doc_id, label, k <= round(0.22 * n) as test from r")
@@ -201,13 +213,84 @@ def q_log_blobs(spark, d):
     return blobs.log_blobs(tile, "tile_id", "v", blobs.scales(2.0, 8.0)).select("prow", "pcol", _r(F.col("radius"), "radius"), _r(F.col("response"), "response"))
 
 
-@query()
-def q_propose_candidates(spark, d):
-    tile = px(spark, d).select(F.lit(0).alias("tile_id"), "prow", "pcol", (F.col("red") >= 10).alias("m"), F.col("green").cast("double").alias("veg"))
-    return detection.propose(tile, "tile_id", SIDE, 3.0).select("prow", "pcol", _r(F.col("response"), "response", 4), "size")
-
-
 @query()
 def q_training_set(spark, d):
     cand, ref = _halves(spark, d)
     return training.training_set(cand.select("id", "x", "y", (F.col("id") % 10 / 10).alias("score")), ref, 1009, 1013, 4.0, 9.0)
+
+
+#: What is known of the orchard's crowns.
+KNOWN = detectors.Calibration(crown=4.0, least=2.5, most=6.0, spacing=24.0)
+PRESETS = {"generic": detectors.GENERIC, "young": detectors.YOUNG, "hybrid": detectors.HYBRID}
+
+
+def _detected(spark, d, preset, **how):
+    small = replace(preset, tile=72, overlap=24, share=0.9)
+    found = detectors.detect(orchard(spark, d), 120, 120, small, KNOWN, **how).withColumn("id", F.monotonically_increasing_id())
+    return spatial.suppress(materialize(found, "found"), min(0.72 * KNOWN.spacing, 2.2 * KNOWN.crown), [(-F.col("score")).alias("s"), F.col("y").alias("y"), F.col("x").alias("x"), F.col("id").alias("k")])
+
+
+def _by_plot(found):
+    """Detections by the plot whose crown they lie in; any other has plot -1."""
+    plot = (F.floor(F.col("y") / 24) * 5 + F.floor(F.col("x") / 24)).cast("int")
+    near = F.hypot(F.col("x") % 24 - 12, F.col("y") % 24 - 12) <= 3 + plot % 3
+    return found.groupBy(F.when(near, plot).otherwise(-1).alias("plot")).agg(F.count(F.lit(1)).alias("found"))
+
+
+for _name, _preset in PRESETS.items():
+    # One candidate for each planted crown, and none elsewhere.
+    query("select cast(n_nationkey as int) as plot, cast(1 as bigint) as found from nation", f"propose_{_name}")(lambda spark, d, preset=_preset: _by_plot(_detected(spark, d, preset)))
+
+
+@query("select cast(n_nationkey as int) as plot, cast(1 as bigint) as found from nation where n_nationkey % 3 > 0")
+def q_propose_in_area(spark, d):
+    return _by_plot(_detected(spark, d, detectors.HYBRID, area=diamonds(spark, d, 24, 8.4, "n_nationkey % 3 > 0")))
+
+
+@query("""with d as (select cast(n_nationkey as int) as k, n_nationkey % 5 * 24 + 12 as cx, n_nationkey // 5 * 24 + 12 as cy from nation where n_nationkey % 3 = 0),
+g as (select cast(a.r as int) as prow, cast(b.c as int) as pcol from (select unnest(range(120)) r) a, (select unnest(range(120)) c) b)
+select distinct prow, pcol from g, d where greatest(0, pcol - cx, cx - pcol - 1) + greatest(0, prow - cy, cy - prow - 1) <= 8.4""")
+def q_area_raster(spark, d):
+    """Every pixel that an area touches."""
+    return detectors.area_pixels(diamonds(spark, d, 24, 8.4), 120, 120, 48)
+
+
+@query(f"with {PTS}, d as (select n_nationkey % 5 * 200 + 100 as cx, n_nationkey // 5 * 200 + 100 as cy from nation where n_nationkey % 3 = 0) select id, x, y from pts where exists (select 1 from d where abs(x - cx) + abs(y - cy) < 90.5)")
+def q_area_points(spark, d):
+    return area.points_inside(pts(spark, d).select("id", "x", "y"), diamonds(spark, d, 200, 90.5), 50.0)
+
+
+_STATS = {"mean": "avg({c})", "std": "stddev_pop({c})", "p25": "quantile_cont(cast({c} as double), 0.25)", "p75": "quantile_cont(cast({c} as double), 0.75)", "center": "max(case when prow = cy and pcol = cx then {c} end)"}
+_NINE = f"""with {EX}, {_sql_rescale('ex', 'c1', {'exg': EXG, 'gli': GLI, 'green_dom': DOM, 'r_sat': SAT})}, {_sql_rescale('c1', 'c2', {'veg': '(0.46 * exg + 0.34 * gli + 0.14 * green_dom + 0.06 * r_sat)'})},
+nine as (select tile_id, prow, pcol, red, green, blue, exg, gli, {BRIGHT} as brightness, {SAT} as saturation, green_dom, veg, tile_id % 4 * 16 + 16 as cx, tile_id // 4 * 16 + 16 as cy from c2 where tile_id % 4 < 3 and tile_id // 4 < 3)"""
+
+
+@query(
+    _NINE + " select cast(tile_id as bigint) as id, " + ", ".join(f"round({f.format(c=c)}, 5) as {c}_{n}" for c in detectors.CHANNELS for n, f in _STATS.items())
+    + ", round(avg(veg) filter (where abs(prow - cy) <= 2 and abs(pcol - cx) <= 2) - avg(veg), 5) as local_contrast, round(max(case when prow = cy and pcol = cx then green / (red + blue + 0.000001) end), 5) as green_ratio from nine where abs(prow - cy) <= 4 and abs(pcol - cx) <= 4 group by 1"
+)
+def q_candidate_features(spark, d):
+    """The fifty features of nine places, but for the three that come with the candidate."""
+    at = spark.createDataFrame([(r * 4 + c, c * 16.0 + 16, r * 16.0 + 16, 0.5, 30.0, 4.0) for r in range(3) for c in range(3)], "id long, x double, y double, score double, area double, radius double")
+    got = detectors.features_at(px(spark, d), at, SIDE, SIDE, TILE, 4.0, scaled=False)
+    return got.select("id", *[_r(F.col("features")[k], n, 5) for k, n in enumerate(detectors.FEATURES) if n not in ("score", "area_px", "radius_px")])
+
+
+@query(f"with {ORCHARD}, p as (select cast(n_nationkey as int) as id, n_nationkey % 5 * 24 + 12.5::double as x, n_nationkey // 5 * 24 + 13.5::double as y, 0 as tile_id from nation) select id, x, y, green from p join orchard on prow = cast(round_even(y, 0) as int) and pcol = cast(round_even(x, 0) as int)")
+def q_gather_at(spark, d):
+    """The value of the pixel at each place, halves to the even one."""
+    n = _read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), (F.col("n_nationkey") % 5 * 24 + 12.5).cast("double").alias("x"), (F.floor(F.col("n_nationkey") / 5) * 24 + 13.5).cast("double").alias("y"), F.lit(0).alias("tile_id"))
+    return detection.gather_at(n, orchard(spark, d).withColumn("tile_id", F.lit(0)), "tile_id", "green").select("id", "x", "y", "green")
+
+
+@query("select round(24.0::double, 6) as spacing, true as crown_in_range, true as thresholds_in_range")
+def q_calibrate_generic(spark, d):
+    """The orchard's spacing, found from its crowns."""
+    c = detectors.calibrate_generic(spark, orchard(spark, d), 120, 120, least=3.0, most=6.0, windows=1, preset=replace(detectors.GENERIC, tile=120, share=0.9))
+    return spark.createDataFrame([(round(c.spacing, 6), 3.0 <= c.crown <= 6.0, 0.0 < c.veg < 1.0 and 0.0 <= c.bright < 1.0)], "spacing double, crown_in_range boolean, thresholds_in_range boolean")
+
+
+@query("select 24.0::double as spacing, 6.0::double as crown, 2.88::double as least, 10.08::double as most, true as thresholds_in_range")
+def q_calibrate_young(spark, d):
+    c = detectors.calibrate_young(spark, orchard(spark, d), 120, 120, 24.0, preset=replace(detectors.YOUNG, tile=72))
+    return spark.createDataFrame([(c.spacing, round(c.crown, 6), round(c.least, 6), round(c.most, 6), 0.0 < c.veg < 1.0 and 0.0 <= c.bright < 1.0)], "spacing double, crown double, least double, most double, thresholds_in_range boolean")

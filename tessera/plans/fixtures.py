@@ -18,6 +18,12 @@ PTS = """pts as (
     floor(value / 5) / 100 as score, cast(user_id % 7 as int) as tile_id from events)"""
 REFPTS = "refpts as (select o_orderkey as id, cast(o_custkey as double) as wx, o_totalprice / 1000 as wy from orders)"
 
+# A planted orchard: one crown for each nation, of three sizes, on a ground with a texture.
+ORCHARD = """orchard as (
+  select prow, pcol, k, case when d2 <= rad * rad then 60 else 80 + (prow * 5 + pcol * 3) % 7 end as red, case when d2 <= rad * rad then 200 - 4 * d2 else 60 + (prow * 7 + pcol * 13) % 11 end as green, 50 + (prow * 3 + pcol * 5) % 5 as blue
+  from (select a.i as prow, b.i as pcol, cast(n_nationkey as int) as k, 3 + cast(n_nationkey as int) % 3 as rad, (a.i % 24 - 12) * (a.i % 24 - 12) + (b.i % 24 - 12) * (b.i % 24 - 12) as d2
+    from (select cast(unnest(range(120)) as int) i) a, (select cast(unnest(range(120)) as int) i) b, nation where n_nationkey = (a.i // 24) * 5 + b.i // 24))"""
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,3 +53,24 @@ def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("double").alias("wx"), (F.col("o_totalprice") / 1000).alias("wy"))
+
+
+def orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prow, pcol, k (the nation whose plot it is), red, green, blue of 120 by 120 pixels."""
+    grid = spark.range(120).select(F.col("id").cast("int").alias("prow")).withColumn("pcol", F.explode(F.sequence(F.lit(0), F.lit(119))))
+    plot = grid.withColumn("k", (F.floor(F.col("prow") / 24) * 5 + F.floor(F.col("pcol") / 24)).cast("int"))
+    known = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    at = lambda c: F.pow(F.col(c) % 24 - 12, F.lit(2)).cast("int")
+    p = plot.join(known, "k").withColumns({"rad": 3 + F.col("k") % 3, "d2": at("prow") + at("pcol")}).withColumn("in", F.col("d2") <= F.col("rad") * F.col("rad"))
+    return p.select(
+        "prow", "pcol", "k", F.when(F.col("in"), 60).otherwise(80 + (F.col("prow") * 5 + F.col("pcol") * 3) % 7).alias("red"),
+        F.when(F.col("in"), 200 - 4 * F.col("d2")).otherwise(60 + (F.col("prow") * 7 + F.col("pcol") * 13) % 11).alias("green"), (50 + (F.col("prow") * 3 + F.col("pcol") * 5) % 5).alias("blue"),
+    )
+
+
+def diamonds(spark: SparkSession, sf_dir: str, plot: int, reach: float, which: str = "n_nationkey % 3 = 0") -> DataFrame:
+    """id, rings: a diamond in the middle of the plots of some nations."""
+    n = _read(spark, sf_dir, "nation").where(which).select(F.col("n_nationkey").cast("int").alias("id"))
+    x, y = F.col("id") % 5 * plot + plot / 2, F.floor(F.col("id") / 5) * plot + plot / 2
+    corner = lambda dx, dy: F.array((x + dx).cast("double"), (y + dy).cast("double"))
+    return n.select("id", F.array(F.array(corner(-reach, 0.0), corner(0.0, -reach), corner(reach, 0.0), corner(0.0, reach))).alias("rings"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import spectral as S
-from tessera.operators import spatial, stats, stencils, tiles
+from tessera.operators import detectors, ranking, spatial, stats, stencils, tiles
 from tessera.plans.fixtures import PTS, PX, REFPTS, SIDE, _read, pts, px, refpts
 
 AFFINE, SIZE = (2.0, 0.0, 10.0, 0.0, -2.0, 500.0), (200, 200)
@@ -56,11 +56,12 @@ _Q: dict = {}
 _O: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def add(f):
-        _Q[f.__name__.removeprefix("q_")] = f
+        own = name or f.__name__.removeprefix("q_")
+        _Q[own] = f
         if sql:
-            _O[f.__name__.removeprefix("q_")] = sql
+            _O[own] = sql
         return f
 
     return add
@@ -73,9 +74,7 @@ def q_clip_points(spark, d):
     left, bottom, right, top = G.bounds(AFFINE, w, h)
     x, y = G.world_to_pixel(F.col("wx"), F.col("wy"), AFFINE)
     p = refpts(spark, d).where(F.col("wx").between(left, right) & F.col("wy").between(bottom, top)).withColumns({"px": x, "py": y}).where((F.col("px") >= 0) & (F.col("px") < w) & (F.col("py") >= 0) & (F.col("py") < h))
-    from pyspark.sql import Window
-
-    return p.select(F.row_number().over(Window.orderBy("id")).cast("long").alias("id"), _r(F.col("px"), "x_pixel"), _r(F.col("py"), "y_pixel"), F.lit("referencia").alias("fuente"))
+    return ranking.sequential_ids(p, "number", "id").select(F.col("number").alias("id"), _r(F.col("px"), "x_pixel"), _r(F.col("py"), "y_pixel"), F.lit("referencia").alias("fuente"))
 
 
 @query(f"with {REFPTS} select id, round((-1.9 * (wx - 10) - 0.6 * (wy - 500)) / (1.8 * -1.9 - 0.6 * 0.5), 6) as x, round((1.8 * (wy - 500) - 0.5 * (wx - 10)) / (1.8 * -1.9 - 0.6 * 0.5), 6) as y from refpts")
@@ -92,9 +91,7 @@ def q_pixel_to_world(spark, d):
 
 @query(f"with {PTS} select cast(row_number() over (order by y, x, id) as bigint) as id, x, y, score from pts")
 def q_assign_ids(spark, d):
-    from pyspark.sql import Window
-
-    return pts(spark, d).select(F.row_number().over(Window.orderBy("y", "x", "id")).cast("long").alias("id"), "x", "y", "score")
+    return ranking.sequential_ids(pts(spark, d), "number", "y", "x", "id").select(F.col("number").alias("id"), "x", "y", "score")
 
 
 @query(f"with {PTS} select count(*) as total, cast(count(*) filter (where x < 500 and y < 500) as bigint) as inside, round(avg(score), 6) as mean_score from pts")
@@ -120,9 +117,15 @@ def q_pixel_tile_expand(spark, d):
     return _tiled(spark, d).select("tile_id", "prow", "pcol", "red", "green", "blue", "nir")
 
 
-@query(f"with {PX} select prow - 16 as prow, pcol - 48 as pcol, red, green, blue from px where prow between 16 and 39 and pcol >= 48")
+@query(f"with {PX}, g as (select cast(a.r as int) as prow, cast(b.c as int) as pcol from (select unnest(range(24)) r) a, (select unnest(range(24)) c) b) select g.prow, g.pcol, coalesce(red, 0) as red, coalesce(green, 0) as green, coalesce(blue, 0) as blue from g left join px on px.prow = g.prow + 50 and px.pcol = g.pcol - 6")
 def q_window_read(spark, d):
-    return px(spark, d).where(F.col("prow").between(16, 39) & (F.col("pcol") >= 48)).select((F.col("prow") - 16).alias("prow"), (F.col("pcol") - 48).alias("pcol"), "red", "green", "blue")
+    """A window that reaches beyond two edges of the raster."""
+    return tiles.read_window(px(spark, d), -6, 50, 24, 24, ["red", "green", "blue"])
+
+
+@query("select * from (values (0, 14, 14, 36, 36), (1, 0, 0, 36, 36), (2, 30, 0, 36, 36), (3, 0, 30, 36, 36), (4, 30, 30, 36, 36)) t(k, col_off, row_off, w, h)".replace("30", "28"))
+def q_sample_windows_yc(spark, d):
+    return spark.createDataFrame([(k, *w) for k, w in enumerate(tiles.sample_windows_young(SIDE, SIDE, 36))], "k int, col_off int, row_off int, w int, h int")
 
 
 @query(f"with {EX} select tile_id, round(quantile_cont(cast(green as double), 0.02), 6) as p2, round(quantile_cont(cast(green as double), 0.62), 6) as p62, round(quantile_cont(cast(green as double), 0.98), 6) as p98 from ex group by 1")
@@ -163,10 +166,11 @@ for _name, _f, _parts in (("veg_index_tc", stats.veg_index_rgb, VEG_TC), ("veg_i
     _O[_name] = _sql_veg(_parts) + " select tile_id, prow, pcol, round(veg, 5) as veg from vg"
 
 
-@query(f"with {EX}, {_sql_rescale('ex', 'c1', {'exg': EXG, 'gli': GLI, 'green_dom': DOM})} select tile_id, prow, pcol, red, green, blue, round(exg, 6) as exg, round(gli, 6) as gli, round({BRIGHT}, 6) as brightness, {SAT} as saturation, round(green_dom, 6) as green_dom from c1")
+@query(f"with {EX}, {_sql_rescale('ex', 'c1', {'exg': EXG, 'gli': GLI, 'green_dom': DOM, 'r_sat': SAT})}, {_sql_rescale('c1', 'c2', {'veg': '(0.46 * exg + 0.34 * gli + 0.14 * green_dom + 0.06 * r_sat)'})} select tile_id, prow, pcol, red, green, blue, round(exg, 6) as exg, round(gli, 6) as gli, round({BRIGHT}, 6) as brightness, {SAT} as saturation, round(green_dom, 6) as green_dom, round(veg, 5) as veg from c2")
 def q_ml_channels(spark, d):
-    t = stats.rescale(_tiled(spark, d), "tile_id", {"exg": S.exg(), "gli": S.gli(), "green_dom": S.green_dominance()})
-    return t.select("tile_id", "prow", "pcol", "red", "green", "blue", _r(F.col("exg"), "exg"), _r(F.col("gli"), "gli"), _r(S.brightness(), "brightness"), S.saturation().alias("saturation"), _r(F.col("green_dom"), "green_dom"))
+    c = detectors.channels(_tiled(spark, d), "tile_id")
+    rounded = {"exg": 6, "gli": 6, "brightness": 6, "green_dom": 6, "veg": 5}
+    return c.select("tile_id", "prow", "pcol", "red", "green", "blue", *[_r(F.col(n), n, k) for n, k in rounded.items()], F.col("saturation").cast("int").alias("saturation"))
 
 
 def _sql_otsu(source: str, v: str) -> str:
@@ -178,33 +182,39 @@ ga as (select *, round(coalesce(cast(w1 as double) * w2 * pow(s1 / w1 - s2 / w2,
 ot as (select tile_id, case when max(hi) > max(lo) then arg_max(c, struct_pack(gain := gain, k := -k)) else max(lo) end as otsu from ga group by 1)"""
 
 
+@query(f"with {EX}, {_sql_rescale('ex', 'rs', {'v': 'green'})} select tile_id, prow, pcol, cast(trunc(v * 255) as int) as v from rs")
+def q_quantise(spark, d):
+    """As bytes, the way images are written."""
+    return stats.rescale(_tiled(spark, d), "tile_id", {"v": F.col("green")}).select("tile_id", "prow", "pcol", (F.col("v") * 255).cast("int").alias("v"))
+
+
 @query(f"with {EX}, {_sql_otsu('ex', 'green')} select tile_id, round(otsu, 6) as otsu from ot")
 def q_otsu(spark, d):
     return stats.otsu(_tiled(spark, d), "tile_id", "green").select("tile_id", _r(F.col("otsu"), "otsu"))
 
 
-def thresholds(veg, share: float = 0.62, otsu_factor: float = 0.92, median_factor: float = 0.55):
-    """Vegetation and brightness thresholds by tile. veg: pixels with a veg column."""
-    bright = S.brightness()
-    p = veg.groupBy("tile_id").agg(F.percentile("veg", F.lit(share)).alias("pv"), F.percentile(bright, F.lit(0.08)).alias("p8"), F.median(bright).alias("med"))
-    t = p.join(stats.otsu(veg, "tile_id", "veg"), "tile_id")
-    return t.select("tile_id", F.greatest("pv", F.col("otsu") * otsu_factor).alias("veg_threshold"), F.least("p8", F.col("med") * median_factor).alias("bright_threshold"))
+def _sql_th(parts: dict, share: float, otsu_factor: float, median_factor: float) -> str:
+    return _sql_veg(parts) + f""", {_sql_otsu('vg', 'veg')}, th as (select tile_id, greatest(quantile_cont(veg, {share}), max(otsu) * {otsu_factor}) as veg_threshold, least(quantile_cont({BRIGHT}, 0.08), median({BRIGHT}) * {median_factor}) as bright_threshold from vg join ot using (tile_id) group by tile_id)"""
+
 
+TH = _sql_th(VEG_TC, 0.62, 0.92, 0.55)
+_THRESHOLDS = " select tile_id, round(veg_threshold, 5) as veg_threshold, round(bright_threshold, 5) as bright_threshold from th"
 
-TH = _sql_veg(VEG_TC) + f""", {_sql_otsu('vg', 'veg')}, th as (select tile_id, greatest(quantile_cont(veg, 0.62), max(otsu) * 0.92) as veg_threshold, least(quantile_cont({BRIGHT}, 0.08), median({BRIGHT}) * 0.55) as bright_threshold from vg join ot using (tile_id) group by tile_id)"""
 
+def _thresholds(spark, d, preset):
+    t = detectors.masks(_tiled(spark, d), "tile_id", preset).groupBy("tile_id").agg(F.max("veg_threshold").alias("v"), F.max("bright_threshold").alias("b"))
+    return t.select("tile_id", _r(F.col("v"), "veg_threshold", 5), _r(F.col("b"), "bright_threshold", 5))
 
-@query(TH + " select tile_id, round(veg_threshold, 5) as veg_threshold, round(bright_threshold, 5) as bright_threshold from th")
-def q_mask_thresholds(spark, d):
-    t = thresholds(stats.veg_index_rgb(_tiled(spark, d)))
-    return t.select("tile_id", _r(F.col("veg_threshold"), "veg_threshold", 5), _r(F.col("bright_threshold"), "bright_threshold", 5))
+
+for _name, _preset, _parts in (("mask_thresholds", detectors.GENERIC, VEG_TC), ("mask_thresholds_yc", detectors.YOUNG, VEG_YC), ("mask_thresholds_ml", detectors.HYBRID, VEG_YC)):
+    _Q[_name] = lambda spark, d, preset=_preset: _thresholds(spark, d, preset)
+    _O[_name] = _sql_th(_parts, _preset.share, _preset.otsu_factor, _preset.median_factor) + _THRESHOLDS
 
 
 @query(TH + f" select tile_id, count(*) as pixels, cast(count(*) filter (where veg >= veg_threshold - 1e-9 and {BRIGHT} >= bright_threshold - 1e-9) as bigint) as crown from vg join th using (tile_id) group by 1")
 def q_crown_mask(spark, d):
-    veg = stats.veg_index_rgb(_tiled(spark, d))
-    mask = (F.col("veg") >= F.col("veg_threshold") - 1e-9) & (S.brightness() >= F.col("bright_threshold") - 1e-9)
-    return veg.join(thresholds(veg), "tile_id").groupBy("tile_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(mask).alias("crown"))
+    m = detectors.masks(_tiled(spark, d), "tile_id", detectors.GENERIC)
+    return m.groupBy("tile_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if("m").alias("crown"))
 
 
 @query(f"with {PTS} select id, round(abs(atan2(sin(2 * (x / 100.0 - y / 100.0)), cos(2 * (x / 100.0 - y / 100.0)))) / 2, 6) as diff from pts")
@@ -231,7 +241,11 @@ def q_annulus_neighbors(spark, d):
     return spatial.annulus(pts(spark, d), 6.2, 13.8).select("i", "j", _r(F.col("dist"), "dist"))
 
 
-@query(f"with {PAIRS}, k as (select i, j, dist, row_number() over (partition by i order by dist, j) as rank from pr where dist <= 20) select i, j, round(dist, 6) as dist, cast(rank as int) as rank from k where rank <= 6")
+# All pairs, whatever their distance.
+NEAREST = f"{PTS}, ne as (select a.id as i, min(struct_pack(d := (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), j := b.id), 6) as best from pts a join pts b on a.id <> b.id group by 1), nn as (select i, unnest(best) as b, unnest(range(1, len(best) + 1)) as rank from ne), k as (select i, b.j as j, sqrt(b.d) as dist, rank from nn)"
+
+
+@query(f"with {NEAREST} select i, j, round(dist, 6) as dist, cast(rank as int) as rank from k")
 def q_knn_self(spark, d):
     return spatial.nearest_within(pts(spark, d), 6, 20.0).select("i", "j", _r(F.col("dist"), "dist"), "rank")
 
@@ -254,13 +268,13 @@ def q_label_candidates(spark, d):
     return spatial.nearest_reference(cand, ref, 9.0).select(label.alias("label")).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {PAIRS}, k as (select i, dist, row_number() over (partition by i order by dist, j) as rank from pr where dist <= 20) select round(quantile_cont(dist, 0.35), 6) as spacing, count(*) as n from k where rank <= 6 and dist > 2.4")
+@query(f"with {NEAREST} select round(quantile_cont(dist, 0.35), 6) as spacing, count(*) as n from k where dist > 2.4")
 def q_spacing_estimate(spark, d):
     k = spatial.nearest_within(pts(spark, d), 6, 20.0).where("dist > 2.4")
     return k.agg(_r(F.percentile("dist", F.lit(0.35)), "spacing"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {PAIRS}, n as (select i, min(dist) m from pr where dist <= 20 group by 1) select round(median(m), 6) as spacing from n")
+@query(f"with {NEAREST} select round(median(dist), 6) as spacing from k where rank = 1")
 def q_spacing_median_nn(spark, d):
     return spatial.nearest_within(pts(spark, d), 1, 20.0).agg(_r(F.median("dist"), "spacing"))
 
@@ -281,30 +295,43 @@ def q_row_angle_hist(spark, d):
     return spatial.row_angle_histogram(spatial.range_pairs(pts(spark, d), 14.5), SPACING, 0.45).select(_r(F.col("angle"), "angle"), "n")
 
 
-def _sql_support(tol: float) -> str:
+def _sql_support(tol: float, cross: str = "count(*) filter (where acr and not along)") -> str:
     diff = lambda a: f"abs(atan2(sin(2 * (({TH_MOD}) - {a})), cos(2 * (({TH_MOD}) - {a})))) / 2"
     return f"""with {PAIRS}, s as (select *, {diff('0.3')} <= {tol} as along, {diff('(0.3 + pi() / 2)')} <= {tol} as acr, cos(atan2(dy, dx) - 0.3) * dist >= 0 as ahead from pr where dist between 6.2 and 13.8)
-select i as id, count(*) filter (where along and ahead) as forward, count(*) filter (where along and not ahead) as backward, count(*) filter (where acr and not along) as "cross", count(*) filter (where along or acr) as support from s group by 1"""
+select i as id, count(*) filter (where along and ahead) as forward, count(*) filter (where along and not ahead) as backward, count(*) filter (where acr and not along) as "cross", count(*) filter (where along) + {cross} as support from s group by 1"""
 
 
-for _name, _tol in (("row_support_tc", 18.0), ("row_support_yc", 14.0)):
-    _Q[_name] = lambda spark, d, tol=math.radians(_tol): spatial.row_support(spatial.annulus(pts(spark, d), 6.2, 13.8), 0.3, tol)
-    _O[_name] = _sql_support(math.radians(_tol))
+YOUNG_CROSS = "least(count(*) filter (where acr and not along), 1)"
+for _name, _tol, _most, _cross in (("row_support_tc", 18.0, None, "count(*) filter (where acr and not along)"), ("row_support_yc", 14.0, 1, YOUNG_CROSS)):
+    _Q[_name] = lambda spark, d, tol=math.radians(_tol), most=_most: spatial.row_support(spatial.annulus(pts(spark, d), 6.2, 13.8), 0.3, tol, most)
+    _O[_name] = _sql_support(math.radians(_tol), _cross)
 
 
 @query(f"""with s0 as ({_sql_support(math.radians(18.0))}), {PTS} select pts.id, score, coalesce(support, 0) as support from pts left join s0 on s0.id = pts.id where coalesce(support, 0) >= 1 or score >= 0.58""")
 def q_row_filter_tc(spark, d):
-    p = pts(spark, d)
-    s = spatial.row_support(spatial.annulus(p, 6.2, 13.8), 0.3, math.radians(18.0)).select("id", "support")
-    out = p.join(s, "id", "left").select("id", "score", F.coalesce("support", F.lit(0)).cast("long").alias("support"))
-    return out.where((F.col("support") >= 1) | (F.col("score") >= max(0.58, 0.20 + 0.22)))
+    return spatial.row_filter_generic(pts(spark, d), SPACING, 0.3).select("id", "score", "support")
+
 
+# The row angle comes from the pairs between .55 and 1.45 spacings, as the filter finds it.
+_ANGLE = f"""h as (select least(cast(floor(({TH_MOD}) / pi() * 36) as int), 35) as k, count(*) as n from pr where i < j and dist between 5.5 and 14.5 group by 1),
+an as (select (arg_max(k, struct_pack(n := n, k := -k)) + 0.5) * pi() / 36 as a from h)"""
+_DIFF = f"abs(atan2(sin(2 * (({TH_MOD}) - %s)), cos(2 * (({TH_MOD}) - %s)))) / 2 <= {math.radians(14.0)}"
 
-@query(f"select round({CALIBRATION_PIXELS}::double * 0.25::double, 9) as crown_radius, round({CALIBRATION_PIXELS}::double * 0.12::double, 9) as min_radius, round({CALIBRATION_PIXELS}::double * 0.45::double, 9) as max_radius, round({CALIBRATION_PIXELS}::double * 0.01999::double, 9) as spacing_m")
+
+@query(f"""with {PAIRS}, {_ANGLE}, s as (select i, {_DIFF % ('a', 'a')} as along, {_DIFF % ('(a + pi() / 2)', '(a + pi() / 2)')} as acr, cos(atan2(dy, dx) - a) * dist >= 0 as ahead from pr, an where dist between 5.5 and 14.5),
+g as (select i as id, count(*) filter (where along) as r, count(*) filter (where along and ahead) as f, count(*) filter (where along and not ahead) as b, count(*) filter (where acr and not along) as c from s group by 1)
+select id, r + least(c, 1) as support from g where (f >= 1 and b >= 1) or (r >= 1 and c >= 1 and r + least(c, 1) >= 2)""")
+def q_row_filter_yc(spark, d):
+    return spatial.row_filter_young(pts(spark, d), SPACING).select("id", "support")
+
+
+@query(f"""with {NEAREST}, s as (select median(dist) as s from k where rank = 1) select round(s, 6) as spacing, round(least(greatest(0.25 * s, 4), 40), 6) as crown_radius, round(greatest(2.0, 0.12 * s), 6) as min_radius, round(greatest(6.0, 0.45 * s), 6) as max_radius,
+round(s * 0.01999::double, 6) as spacing_m, round({CALIBRATION_PIXELS}::double * 0.12::double, 9) as known_min, round({CALIBRATION_PIXELS}::double * 0.42::double, 9) as known_max from s""")
 def q_derive_calibration(spark, d):
-    sp = F.lit(CALIBRATION_PIXELS)
-    clip = F.least(F.greatest(0.25 * sp, F.lit(4.0)), F.lit(40.0))
-    return spark.range(1).select(_r(clip, "crown_radius", 9), _r(F.greatest(F.lit(2.0), 0.12 * sp), "min_radius", 9), _r(F.greatest(F.lit(6.0), 0.45 * sp), "max_radius", 9), _r(sp * 0.01999, "spacing_m", 9))
+    """From the points' own spacing, and from a known one."""
+    c, known = detectors.spacing_radii(detectors.reference_spacing(pts(spark, d), 20.0)), detectors.given_spacing(CALIBRATION_PIXELS)
+    row = (round(c.spacing, 6), round(c.crown, 6), round(c.least, 6), round(c.most, 6), round(c.spacing * 0.01999, 6), round(known.least, 9), round(known.most, 9))
+    return spark.createDataFrame([row], "spacing double, crown_radius double, min_radius double, max_radius double, spacing_m double, known_min double, known_max double")
 
 
 @query(f"with {PTS}, r as (select *, row_number() over (partition by tile_id, x // 50 order by score desc, id) k from pts) select tile_id, x // 50 as label, id, score from r where k = 1")
@@ -345,10 +372,21 @@ def q_area_filter(spark, d):
 
 
 def _mask(spark, d):
-    return px(spark, d).select(F.lit(0).alias("tile_id"), "prow", "pcol", (F.col("red") >= 45).alias("m"))
+    return px(spark, d).select("prow", "pcol", (F.col("red") >= 45).alias("m"))
+
+
+def _haloed(pixels, halo: int):
+    """Tiles of 16 pixels with what their results depend on around them."""
+    return tiles.expand_halo(pixels, SIDE, SIDE, 16, halo)
+
+
+def _tiled_mask(spark, d):
+    """The windows of the detectors: components, holes and distances are those of a window."""
+    return tiles.expand(_mask(spark, d), SIDE, TILE, OVERLAP)
 
 
 MASK = PX + ", mk as (select prow, pcol, red >= 45 as m from px)"
+TILED = EX + ", mt as (select tile_id, prow, pcol, red >= 45 as m from ex)"
 NEAR = "(a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol) <= 1"
 
 
@@ -359,44 +397,50 @@ def _sql_morph(first: str, second: str) -> str:
 
 @query(_sql_morph("bool_and", "bool_or"))
 def q_morph_open(spark, d):
-    return stencils.opening(_mask(spark, d), "tile_id", "m", 1).select("prow", "pcol", "m")
+    return stencils.opening(_haloed(_mask(spark, d), 2), "tile_id", "m", 1).where("own").select("prow", "pcol", "m")
 
 
 @query(_sql_morph("bool_or", "bool_and"))
 def q_morph_close(spark, d):
-    return stencils.closing(_mask(spark, d), "tile_id", "m", 1).select("prow", "pcol", "m")
+    return stencils.closing(_haloed(_mask(spark, d), 2), "tile_id", "m", 1).where("own").select("prow", "pcol", "m")
 
 
-LABELS = f"""with recursive {MASK}, c as (select prow * 64 + pcol as p, prow, pcol from mk where m),
-e as (select a.p, b.p as q from c a join c b on abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1),
-w as (select p, p as l from c union select e.q, w.l from w join e on e.p = w.p), lb as (select p // 64 as prow, p % 64 as pcol, min(l) as l from w group by p)"""
+LABELS = f"""with recursive {TILED}, c as (select tile_id * 4096 + prow * 64 + pcol as p, prow, pcol, tile_id from mt where m),
+e as (select a.p, b.p as q from c a join c b on a.tile_id = b.tile_id and abs(a.prow - b.prow) + abs(a.pcol - b.pcol) = 1),
+w as (select p, p as l from c union select e.q, w.l from w join e on e.p = w.p), lb as (select p // 4096 as tile_id, p % 4096 // 64 as prow, p % 64 as pcol, min(l) % 4096 as l from w group by p)"""
 
 
-@query(LABELS + " select prow, pcol, l // 64 as label_row, l % 64 as label_col from lb")
+@query(LABELS + " select cast(tile_id as int) as tile_id, prow, pcol, l // 64 as label_row, l % 64 as label_col from lb")
 def q_connected_components(spark, d):
-    c = stencils.label(_mask(spark, d), "tile_id", "m")
-    return c.select("prow", "pcol", F.shiftright("label", 31).cast("int").alias("label_row"), (F.col("label") % (1 << 31)).cast("int").alias("label_col"))
+    c = stencils.label(_tiled_mask(spark, d), "tile_id", "m")
+    return c.select("tile_id", "prow", "pcol", F.shiftright("label", 31).cast("int").alias("label_row"), (F.col("label") % (1 << 31)).cast("int").alias("label_col"))
 
 
-@query(LABELS + " select l // 64 as label_row, l % 64 as label_col, count(*) as size, round(avg(prow), 6) as row, round(avg(pcol), 6) as col from lb group by l")
+@query(LABELS + " select cast(tile_id as int) as tile_id, l // 64 as label_row, l % 64 as label_col, count(*) as size, round(avg(prow), 6) as row, round(avg(pcol), 6) as col from lb group by tile_id, l")
 def q_component_centroids(spark, d):
-    c = stencils.label(_mask(spark, d), "tile_id", "m").groupBy("label").agg(F.count(F.lit(1)).alias("size"), _r(F.avg("prow"), "row"), _r(F.avg("pcol"), "col"))
-    return c.select(F.shiftright("label", 31).cast("int").alias("label_row"), (F.col("label") % (1 << 31)).cast("int").alias("label_col"), "size", "row", "col")
+    c = stencils.label(_tiled_mask(spark, d), "tile_id", "m").groupBy("tile_id", "label").agg(F.count(F.lit(1)).alias("size"), _r(F.avg("prow"), "row"), _r(F.avg("pcol"), "col"))
+    return c.select("tile_id", F.shiftright("label", 31).cast("int").alias("label_row"), (F.col("label") % (1 << 31)).cast("int").alias("label_col"), "size", "row", "col")
 
 
-@query(LABELS + ", s as (select *, count(*) over (partition by l) n from lb) select mk.prow, mk.pcol, coalesce(n >= 4, false) as m from mk left join s on s.prow = mk.prow and s.pcol = mk.pcol")
+@query(LABELS + ", s as (select *, count(*) over (partition by tile_id, l) n from lb) select mt.tile_id, mt.prow, mt.pcol, coalesce(n >= 4, false) as m from mt left join s on s.tile_id = mt.tile_id and s.prow = mt.prow and s.pcol = mt.pcol")
 def q_drop_small(spark, d):
-    return stencils.drop_small(_mask(spark, d), "tile_id", "m", 4).select("prow", "pcol", "m")
+    return stencils.drop_small(_tiled_mask(spark, d), "tile_id", "m", 4).select("tile_id", "prow", "pcol", "m")
 
 
 @query(f"with {PX} select a.prow, a.pcol, a.green from px a join px b on abs(a.prow - b.prow) <= 2 and abs(a.pcol - b.pcol) <= 2 group by 1, 2, 3 having a.green = max(b.green) and a.green > 100")
 def q_local_maxima(spark, d):
-    return stencils.local_maxima(px(spark, d).withColumn("tile_id", F.lit(0)), "tile_id", "green", 2, 100).select("prow", "pcol", "green")
+    return stencils.local_maxima(_haloed(px(spark, d), 2), "tile_id", "green", 2, 100).where("own").select("prow", "pcol", "green")
 
 
-@query(f"with {MASK} select a.prow, a.pcol, case when a.m then round(sqrt(min(case when not b.m then (a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol) end)), 6) else 0 end as dist from mk a, mk b group by a.prow, a.pcol, a.m")
+@query(f"with {EX}, t as (select *, max(green) over (partition by tile_id) as top from ex) select a.tile_id, a.prow, a.pcol, a.green from t a join t b on a.tile_id = b.tile_id and abs(a.prow - b.prow) <= 2 and abs(a.pcol - b.pcol) <= 2 group by 1, 2, 3, 4, a.top having a.green = max(b.green) and a.green > greatest(20, 0.25 * a.top)")
+def q_peak_floor(spark, d):
+    """The floor of peaks rises with the tile's maximum."""
+    return stencils.local_maxima(_tiled(spark, d), "tile_id", "green", 2, 20, 0.25).select("tile_id", "prow", "pcol", "green")
+
+
+@query(f"with {TILED} select a.tile_id, a.prow, a.pcol, case when a.m then round(sqrt(min(case when not b.m then (a.prow - b.prow) * (a.prow - b.prow) + (a.pcol - b.pcol) * (a.pcol - b.pcol) end)), 6) else 0 end as dist from mt a join mt b on a.tile_id = b.tile_id group by a.tile_id, a.prow, a.pcol, a.m")
 def q_distance_transform(spark, d):
-    return stencils.distance_transform(_mask(spark, d), "tile_id", "m").select("prow", "pcol", _r(F.col("dist"), "dist"))
+    return stencils.distance_transform(_tiled_mask(spark, d), "tile_id", "m").select("tile_id", "prow", "pcol", _r(F.col("dist"), "dist"))
 
 
 def _sql_gauss(sigma: float) -> str:
@@ -408,8 +452,8 @@ def _sql_gauss(sigma: float) -> str:
 
 @query(_sql_gauss(1.5))
 def q_gaussian_blur(spark, d):
-    t = px(spark, d).select(F.lit(0).alias("tile_id"), "prow", "pcol", F.col("green").cast("double").alias("v"))
-    return stencils.gaussian(t, "tile_id", "v", 1.5, SIDE).select("prow", "pcol", _r(F.col("v"), "v", 5))
+    t = _haloed(px(spark, d).select("prow", "pcol", F.col("green").cast("double").alias("v")), 6)
+    return stencils.gaussian(t, "tile_id", "v", 1.5).where("own").select("prow", "pcol", _r(F.col("v"), "v", 5))
 
 
 @query("""with lab as (select l.quality as t, 1 - l.toxic as p from labels l), c as (select unnest([0, 1]) label),
@@ -421,6 +465,17 @@ def q_classification_report(spark, d):
     return stats.classification_report(lab, "t", "p").select("label", _r(F.col("precision"), "precision"), _r(F.col("recall"), "recall"), _r(F.col("f1"), "f1"), "support")
 
 
+@query("""with lab as (select l.quality as t, 1 - l.toxic as p from labels l), c as (select unnest([0, 1]) label),
+s as (select label, sum(case when t = label and p = label then 1 else 0 end) tp, sum(case when t = label then 1 else 0 end) support, sum(case when p = label then 1 else 0 end) predicted from lab, c group by 1),
+m as (select support, coalesce(tp / nullif(predicted, 0), 0) pr, coalesce(tp / nullif(support, 0), 0) re from s), f as (select *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) f1 from m)
+select round(sum(re * support) / sum(support), 6) as accuracy, round(avg(pr), 6) as macro_precision, round(avg(re), 6) as macro_recall, round(avg(f1), 6) as macro_f1,
+round(sum(pr * support) / sum(support), 6) as weighted_precision, round(sum(re * support) / sum(support), 6) as weighted_recall, round(sum(f1 * support) / sum(support), 6) as weighted_f1, cast(sum(support) as bigint) as support from f""")
+def q_report_averages(spark, d):
+    lab = _read(spark, d, "labels").select(F.col("quality").alias("t"), (1 - F.col("toxic")).alias("p"))
+    r = stats.report_averages(stats.classification_report(lab, "t", "p"))
+    return r.select(*[_r(F.col(c), c) if c != "support" else F.col(c) for c in r.columns])
+
+
 @query("select quality as label, count(*) as n, round((select count(*) from labels) / (2.0 * count(*)), 6) as weight from labels group by 1")
 def q_class_weights(spark, d):
     lab = _read(spark, d, "labels")

@@ -93,7 +93,7 @@ def test_training_set(spark):
     assert training.training_set(spark.createDataFrame(cands, "id long, x double, y double, score double"), none, 300, 300, 6.0, 14.0).count() == 0
 
 
-@pytest.mark.parametrize("name", ["log_blobs", "propose_candidates", "training_set"])
+@pytest.mark.parametrize("name", ["log_blobs", "nms", "nms_thin", "training_set"])
 def test_queries_run(spark, name):
     out = registry.queries()[name](spark, DATA)
     rows = out.collect()
