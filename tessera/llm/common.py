@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.state import materialize, release, shared_dir  # noqa: F401  the text operators take them from here
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,40 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints/tessera").rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: its lineage ends there, and lost
-    executors cost only a read. The files go when the JVM ends, or earlier by release()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, where = _file_system(spark, path)
-    fs.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that materialize() wrote and nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "_tessera_path", None):
-            fs, where = _file_system(df.sparkSession, path)
-            fs.delete(where, True)
-            df._tessera_path = None
-
-
 def reclaim(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are no longer referenced."""
     gc.collect()
