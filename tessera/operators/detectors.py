@@ -282,18 +282,53 @@ def area_pixels(area: DataFrame, width: int, height: int, size: int = 1024) -> D
     return area_by_tile(area, grid).groupBy("tile_id").applyInArrow(run, "prow int, pcol int")
 
 
-def features_at(pixels: DataFrame, points: DataFrame, width: int, height: int, size: int, crown: float, bands: tuple[str, ...] = ("red", "green", "blue"), scaled: bool = True) -> DataFrame:
-    """points (id, x, y, score, area, radius and others) with features, from the window of that size around each point, clipped
-    to the raster. Points of one window are judged together; a null radius counts as the crown's."""
-    half = int(max(size // 2, 4 * crown))
-    off = lambda c, extent: F.least(F.greatest(F.floor(F.col(c) - half), F.lit(0)), F.lit(max(0, extent - size))).cast("int")
-    placed = points.withColumns({"_col": off("x", width), "_row": off("y", height)})
-    windows = placed.select("_col", "_row").distinct()
+def _in_windows(pixels: DataFrame, windows: DataFrame, size: int, bands: tuple[str, ...]) -> DataFrame:
+    """_left, _top, prow, pcol and bands of the pixels of windows (_col, _row: corners, in whole pixels) of that size."""
     cell = lambda c, o: F.explode(F.sequence(F.floor(F.col(o) / size).cast("int"), F.floor((F.col(o) + size - 1) / size).cast("int"))).alias(c)
     cells = windows.select("_col", "_row", cell("ci", "_col")).select("*", cell("ri", "_row"))
     here = pixels.select("prow", "pcol", *bands).withColumns({"ri": F.floor(F.col("prow") / size).cast("int"), "ci": F.floor(F.col("pcol") / size).cast("int")})
     inside = here.join(cells, ["ri", "ci"]).where((F.col("prow") >= F.col("_row")) & (F.col("prow") < F.col("_row") + size) & (F.col("pcol") >= F.col("_col")) & (F.col("pcol") < F.col("_col") + size))
-    inside = inside.withColumnsRenamed({"_col": "_left", "_row": "_top"})
+    return inside.select(F.col("_col").alias("_left"), F.col("_row").alias("_top"), "prow", "pcol", *bands)
+
+
+def corners(points: DataFrame, width: int, height: int, size: int, crown: float) -> DataFrame:
+    """points with _col and _row, the corner of the window of that size round each, within the raster."""
+    half = int(max(size // 2, 4 * crown))
+    off = lambda c, extent: F.least(F.greatest(F.col(c) - half, F.lit(0.0)), F.lit(float(max(0, extent - size)))).cast("int")
+    return points.withColumns({"_col": off("x", width), "_row": off("y", height)})
+
+
+def _window_images(table: pa.Table, left: int, top: int, w: int, h: int, bands: tuple[str, ...], scaled: bool) -> list[np.ndarray]:
+    out = []
+    for b in bands[:3]:
+        image = np.zeros((h, w))
+        if table.num_rows:
+            image[table["prow"].to_numpy() - top, table["pcol"].to_numpy() - left] = np.nan_to_num(table[b].to_numpy().astype(float))
+        out.append(K.rescale(image) if scaled else image)
+    return out
+
+
+def propose_in_windows(pixels: DataFrame, windows: DataFrame, width: int, height: int, size: int, preset: Preset, calibration: Calibration, least_score: float, bands: tuple[str, ...] = ("red", "green", "blue")) -> DataFrame:
+    """x, y, score, area, radius and features of the candidates of each window (_col, _row)."""
+    schema = StructType([*[StructField(n, DoubleType()) for n in ("x", "y", "score", "area", "radius")], StructField("features", ArrayType(DoubleType()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        left, top = table["_left"][0].as_py(), table["_top"][0].as_py()
+        w, h = min(size, width - left), min(size, height - top)
+        images = _window_images(table, left, top, w, h, bands, True)
+        found = candidates_of(_veg(images, preset), sum(images) / 3, preset, calibration, (0, 0, w, h), None, least_score)
+        nine = K.channels(*images) if found else {}
+        rows = [(float(x + left), float(y + top), score, area, radius, _vector(nine, y, x, calibration.crown, score, area, radius)) for x, y, score, area, radius in found]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, [*[pa.float64()] * 5, pa.list_(pa.float64())], strict=True)], names=schema.names)
+
+    return _in_windows(pixels, windows.select("_col", "_row").distinct(), size, bands).groupBy("_left", "_top").applyInArrow(run, schema)
+
+
+def features_at(pixels: DataFrame, points: DataFrame, width: int, height: int, size: int, crown: float, bands: tuple[str, ...] = ("red", "green", "blue"), scaled: bool = True) -> DataFrame:
+    """points (id, x, y, score, area, radius and others) with features, from the window of that size around each point, clipped
+    to the raster. Points of one window are judged together; a null radius counts as the crown's."""
+    placed = corners(points, width, height, size, crown)
+    inside = _in_windows(pixels, placed.select("_col", "_row").distinct(), size, bands)
     names, schema = points.columns, StructType([*points.schema.fields, StructField("features", ArrayType(DoubleType()))])
 
     def run(table: pa.Table, at: pa.Table) -> pa.Table:
@@ -301,14 +336,7 @@ def features_at(pixels: DataFrame, points: DataFrame, width: int, height: int, s
         if not at.num_rows:
             return out.append_column("features", pa.array([], pa.list_(pa.float64())))
         left, top = at["_col"][0].as_py(), at["_row"][0].as_py()
-        w, h = min(size, width - left), min(size, height - top)
-        images = []
-        for b in bands[:3]:
-            image = np.zeros((h, w))
-            if table.num_rows:
-                image[table["prow"].to_numpy() - top, table["pcol"].to_numpy() - left] = np.nan_to_num(table[b].to_numpy().astype(float))
-            images.append(K.rescale(image) if scaled else image)
-        nine = K.channels(*images)
+        nine = K.channels(*_window_images(table, left, top, min(size, width - left), min(size, height - top), bands, scaled))
         rows = zip(*(at[c].to_pylist() for c in ("x", "y", "score", "area", "radius")), strict=True)
         got = [_vector(nine, y - top, x - left, crown, s or 0.0, a or 0.0, r or crown) for x, y, s, a, r in rows]
         return out.append_column("features", pa.array(got, pa.list_(pa.float64())))

@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit(rows: DataFrame, features: list[str], label: str, trees: int = 220, depth: int = 8, seed: int = 7) -> PipelineModel:
-    """Both classes weigh the same in all. A row with a null feature is left out."""
+def spread(rows: DataFrame, names: list[str], values: str = "features") -> DataFrame:
+    """An array of features as columns."""
+    return rows.select("*", *[F.get(values, F.lit(k)).alias(n) for k, n in enumerate(names)]).drop(values)
+
+
+def fit(rows: DataFrame, features: list[str], label: str, trees: int = 220, depth: int = 20, seed: int = 7) -> PipelineModel:
+    """Both classes weigh the same in all. A row with a null feature is left out. Leaves hold two rows at least."""
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # two classes
     weight = F.lit(0.0)
     for k, n in counts.items():

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import detectors
 from tessera.operators.ranking import hashed_rank
 from tessera.operators.spatial import nearest_reference
 
@@ -47,3 +50,51 @@ def training_set(
         free = nearest_reference(places, refs, far).where(F.coalesce("dist", F.lit(far)) >= far)
         out = out.unionByName(_first(free, F.lit(missing)).select("id", "x", "y", F.lit(0.0).alias("score"), F.lit(0).alias("label"), F.lit("random").alias("origin")))
     return out.select(*COLUMNS)
+
+
+def raster_rows(
+    pixels: DataFrame, width: int, height: int, references: DataFrame, calibration: detectors.Calibration, near: float, far: float, preset: detectors.Preset = detectors.HYBRID, size: int = 512,
+    ratio: float = 2.0, anchors: float = 0.08, most_positive: int = 7000, most_tiles: int = 140, seed: int = 7, bands: tuple[str, ...] = ("red", "green", "blue"),
+) -> DataFrame:
+    """x, y, score, area, radius, features, label, origin: what a forest learns from. references: id, x, y in pixels.
+
+    Windows round at most most_positive references (by hash) are searched with looser limits: candidates up to near from a
+    reference are labelled 1 ("candidate"), those at far or beyond 0 ("hard", ratio times most_positive at most). References
+    themselves come in as label 1 ("anchor"): the share anchors of the positive candidates, all where there are none. Further
+    negatives, ratio times the references, are candidates beyond far of at most most_tiles tiles ("far"), and then places of
+    the raster drawn by hash ("random"). An empty reference table gives no rows."""
+    from tessera.operators.state import materialize
+
+    refs = materialize(_first(references.where("x is not null and y is not null").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), F.lit(most_positive)), "references")
+    known = refs.count()
+    columns = ["x", "y", "score", "area", "radius", "features", "label", "origin"]
+    # How much looser the search round references is, and the further negatives' score.
+    loose = replace(preset, share=max(0.40, preset.share - 0.28))
+    windows = detectors.corners(refs, width, height, size, calibration.crown)
+    found = detectors.propose_in_windows(pixels, windows, width, height, size, loose, calibration, max(0.01, 0.1 * preset.least_score), bands)
+    found = materialize(found.withColumn("id", F.monotonically_increasing_id()), "proposed")
+    every = references.where("x is not null and y is not null").select("id", "x", "y")
+    label = F.when(F.col("dist") <= near, 1).when(F.coalesce("dist", F.lit(far)) >= far, 0)
+    labelled = materialize(nearest_reference(found, every, far).withColumn("label", label).where("label is not null"), "labelled")
+    positive = labelled.where("label = 1").withColumn("origin", F.lit("candidate")).select(columns)
+    hard = _first(labelled.where("label = 0"), F.lit(int(most_positive * ratio))).withColumn("origin", F.lit("hard")).select(columns)
+    hits = positive.count()
+    at = lambda df, score, origin, label: df.select("id", "x", "y", F.lit(score).alias("score"), F.lit(0.0).alias("area"), F.lit(calibration.crown).alias("radius"), F.lit(label).alias("label"), F.lit(origin).alias("origin"))
+    anchored = at(_first(refs, F.lit(min(known, int(hits * anchors)) if hits else known)), 1.0, "anchor", 1)
+
+    wanted = int(known * ratio)
+    tiles = [(c * size, r * size) for r in range(-(-height // size)) for c in range(-(-width // size))] if known else []
+    tiles = sorted(tiles, key=lambda t: hash((seed, *t)))[:most_tiles]
+    grid = pixels.sparkSession.createDataFrame(tiles, "_col int, _row int")
+    more = detectors.propose_in_windows(pixels, grid, width, height, size, preset, calibration, 0.75 * preset.least_score, bands).withColumn("id", F.monotonically_increasing_id())
+    beyond = nearest_reference(materialize(more.select("id", "x", "y", "score", "area", "radius"), "tiles"), every, far).where(F.col("dist").isNull() | (F.col("dist") >= far))
+    beyond = materialize(_first(beyond, F.lit(wanted)).select("id", "x", "y", "score", "area", "radius", F.lit(0).alias("label"), F.lit("far").alias("origin")), "beyond")
+    missing = wanted - beyond.count()
+    points = anchored.unionByName(beyond)
+    if missing > 0:
+        draw = lambda salt, extent: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(extent)).cast("double")
+        places = pixels.sparkSession.range(8 * missing).withColumns({"x": draw("x", width), "y": draw("y", height)})
+        free = nearest_reference(places, every, far).where(F.col("dist").isNull() | (F.col("dist") >= far))
+        points = points.unionByName(at(_first(free, F.lit(missing)), 0.0, "random", 0))
+    shown = detectors.features_at(pixels, materialize(points, "points"), width, height, size, calibration.crown, bands)
+    return positive.unionByName(hard).unionByName(shown.select(columns))

@@ -3,7 +3,7 @@
 Read: spark.dataSource.register(GeoTiff), then spark.read.format("geotiff").load(path), or read_raster().
 Every partition reads the byte ranges of its own blocks, so a raster is never whole in any process, and a
 window reads the blocks that it touches and no others. Strips and tiles, classic and BigTIFF, both byte
-orders, pixel-interleaved and planar bands, uncompressed and deflate, with or without horizontal prediction.
+orders, pixel-interleaved and planar bands, uncompressed, LZW and deflate, with or without horizontal prediction.
 Other compressions raise ValueError.
 """
 
@@ -95,7 +95,7 @@ def raster_meta(path: str) -> Raster:
     width, height, count = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
     if len(set(tags.get(BITS, (1,)))) > 1 or tags.get(BITS, (1,))[0] not in (8, 16, 32, 64):
         raise ValueError(f"bands of {tags.get(BITS)} bits")
-    if tags.get(COMPRESSION, (1,))[0] not in (1, 8, 32946):
+    if tags.get(COMPRESSION, (1,))[0] not in (1, 5, 8, 32946):
         raise ValueError(f"compression {tags[COMPRESSION][0]}")
     if tags.get(PREDICTOR, (1,))[0] not in (1, 2):
         raise ValueError(f"predictor {tags[PREDICTOR][0]}")
@@ -119,6 +119,30 @@ def raster_meta(path: str) -> Raster:
     )
 
 
+def lzw(data: bytes) -> bytes:
+    """Decodes a block of TIFF's LZW: codes of 9 to 12 bits, the highest bit first; 256 begins a new table, 257 ends."""
+    out, table, last = [], [bytes([k]) for k in range(256)] + [b"", b""], b""
+    held = bits = 0
+    wide = 9
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        while bits >= wide:
+            bits -= wide
+            code, held = held >> bits, held & ((1 << bits) - 1)
+            if code == 257:
+                return b"".join(out)
+            if code == 256:
+                del table[258:]
+                last, wide = b"", 9
+                continue
+            if last:
+                table.append(last + (table[code] if code < len(table) else last)[:1])
+            last = table[code]
+            out.append(last)
+            wide = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+    return b"".join(out)
+
+
 @dataclass
 class Blocks(InputPartition):
     """Row and column of the first pixel of each block, and the place and size of its planes."""
@@ -151,7 +175,7 @@ class GeoTiffReader(DataSourceReader):
 
     def _plane(self, data: bytes, samples: int, rows: int) -> np.ndarray:
         m = self.meta
-        data = data if m.compression == 1 else zlib.decompress(data)
+        data = data if m.compression == 1 else lzw(data) if m.compression == 5 else zlib.decompress(data)
         out = np.frombuffer(data, m.dtype, rows * m.block[1] * samples).reshape(rows, m.block[1], samples)
         out = out.astype(out.dtype.newbyteorder("="))
         return np.cumsum(out, axis=1, dtype=out.dtype) if m.predictor == 2 else out

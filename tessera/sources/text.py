@@ -1,10 +1,11 @@
-"""Text sinks: CSV with fixed decimals, GeoJSON collections, styles and JSON reports."""
+"""Text sinks: CSV with fixed decimals, GeoJSON collections, point styles and JSON reports."""
 
 from __future__ import annotations
 
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +13,19 @@ from tessera.sources.files import open_write
 
 
 def fixed(c: Column, places: int) -> Column:
-    """A number with so many decimals and no grouping; null stays null."""
-    return F.format_string(f"%.{places}f", c.cast("double"))
+    """A number with so many decimals and no grouping, rounded half to even on its binary value; null stays null."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else f"{v:.{places}f}" for v in values], dtype=object)
+
+    return shown(c.cast("double"))
 
 
 def write_csv(df: DataFrame, path: str, places: dict[str, int]) -> None:
     """A folder of CSV files with header and CRLF line ends; columns in places get that many decimals. The
     order of rows is kept where df is sorted."""
-    shown = [F.when(F.col(c).isNotNull(), fixed(F.col(c), places[c])).alias(c) if c in places else F.col(c) for c in df.columns]
+    shown = [fixed(F.col(c), places[c]).alias(c) if c in places else F.col(c) for c in df.columns]
     df.select(shown).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
 
 
@@ -63,3 +69,22 @@ def write_json(report: dict, path: str) -> None:
     """A small report (calibration, summary, model facts), indented."""
     with open_write(path) as out:
         out.write((json.dumps(report, indent=2, ensure_ascii=False) + "\n").encode())
+
+
+def point_style(color: str = "255,255,0,255", size: float = 2.4) -> str:
+    """A style file for a layer of points: filled circles with a dark rim."""
+    options = {"name": "circle", "color": color, "outline_color": "0,0,0,255", "outline_width": "0.3", "size": str(size), "size_unit": "MM"}
+    shown = "".join(f'<Option type="QString" name="{k}" value="{v}"/>' for k, v in options.items())
+    return f"""<!DOCTYPE qgis PUBLIC 'http://mrcc.com/qgis.dtd' 'SYSTEM'>
+<qgis version="3.0" styleCategories="Symbology">
+  <renderer-v2 type="singleSymbol" symbollevels="0" enableorderby="0">
+    <symbols><symbol type="marker" name="0" alpha="1" clip_to_extent="1"><layer class="SimpleMarker" enabled="1" locked="0" pass="0"><Option type="Map">{shown}</Option></layer></symbol></symbols>
+  </renderer-v2>
+  <layerGeometryType>0</layerGeometryType>
+</qgis>
+"""
+
+
+def write_style(path: str) -> None:
+    with open_write(path) as out:
+        out.write(point_style().encode())
