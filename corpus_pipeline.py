@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, packing."""
+"""From raw documents to packed sequences: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Each stage works on all rows that its predecessor kept; all but the last return the columns of documents, and other
+columns are left out. Defined results: a null or empty text has no letter, so the first stage rejects it; a later stage
+treats it as its operator does (empty). A row with a null id is judged by its text like any other; of repeated rows, and
+of texts that are equal or near, one row stays, with the smallest id. An empty table gives an empty result; without any
+labelled row the first stage rejects everything, as no language is known.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id as lid
-from tessera.llm.common import SPACE, materialize, table, text_or_empty
+from tessera.llm.common import SPACE, materialize, release, table, text_or_empty
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.near_dedup import near_duplicates
@@ -60,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(docs)
+        docs = made
     return docs
