@@ -234,8 +234,8 @@ def test_decontamination_limit_is_implied(n):
 
 def test_url_training_by_rules(spark, monkeypatch):
     """No host holds a seed term: rule-blocked URLs alone train the rejected model, each once however often it is repeated."""
-    samples, fit = [], url_filter.Markov.__init__
-    monkeypatch.setattr(url_filter.Markov, "__init__", lambda model, urls, *more: samples.append(urls) or fit(model, urls, *more))
+    samples, fit = [], url_filter.fitted
+    monkeypatch.setattr(url_filter, "fitted", lambda *both, **how: samples.extend([u for u, _ in x] for x in both[:2]) or fit(*both, **how))
     good = [f"http://library{k}.edu/catalogue/{k * 37}" for k in range(300)]
     blocked = [f"http://win{k}.com/en/bonus-jackpot-{k}" for k in range(300)]
     unruled = [f"http://win{k}.org/bonus-jackpot-{k}" for k in range(20)]
