@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, release, table, text_or_empty
@@ -92,8 +92,16 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(parse, "id long, h long, line int, key long, fresh boolean, held long, leaves array<long>, tokens binary")
 
 
-def _token(at) -> Column:
-    return F.substring("tokens", 4 * at + 1, F.lit(4))
+def _unpacked(members: DataFrame) -> DataFrame:
+    """leaf, key, tokens as an array, of which a part is read without copying the whole."""
+
+    def unpack(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            tokens = [np.frombuffer(t.as_py(), "<i4") for t in batch.column("tokens")]
+            cuts = np.append(0, np.cumsum([len(t) for t in tokens])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("leaf"), batch.column("key"), pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.empty(0, "<i4"), *tokens])))], names=["leaf", "key", "tokens"])
+
+    return members.select("leaf", "key", "tokens").mapInArrow(unpack, "leaf long, key long, tokens array<int>")
 
 
 def _constants(members: DataFrame) -> DataFrame:
@@ -101,8 +109,7 @@ def _constants(members: DataFrame) -> DataFrame:
     leaf, those of a large leaf by parts of it, so that only large leaves have counts to be added up."""
     sizes = materialize(members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "op9-sizes")
     dealt = members.join(sizes.hint("merge"), "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / LEAF_PART)))
-    dealt = dealt.repartition("leaf", "part").withColumn("at", F.explode(F.expr("sequence(0, cast(length(tokens) div 4 as int) - 1)")))
-    dealt = dealt.select("leaf", "part", "n", "at", _token(F.col("at")).alias("token"))
+    dealt = dealt.repartition("leaf", "part").select("leaf", "part", "n", F.posexplode("tokens").alias("at", "token"))
     enough = F.col("c") >= DOMINANT * F.col("n")
     counts = dealt.groupBy("leaf", "part", "n", "at", "token").agg(F.count(F.lit(1)).alias("c")).where((F.col("n") > LEAF_PART) | enough)
     counts = counts.groupBy("leaf", "n", "at", "token").agg(F.sum("c").alias("c")).where(enough)
@@ -118,10 +125,10 @@ def _generalised(lines: DataFrame, min_docs: int) -> DataFrame:
     several = materialize(several.where((F.col("lo") != F.col("hi")) & (F.col("held") >= min_docs)).select("leaf"), "op9-several")
     within = materialize(pairs.select("key", "leaf").join(several.hint("merge"), "leaf").distinct(), "op9-leaves")
     tokens = distinct.select("key", "tokens").join(within.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
-    members = materialize(within.join(tokens.hint("merge"), "key"), "op9-members")
+    members = materialize(_unpacked(within.join(tokens.hint("merge"), "key")), "op9-members")
     release(several, within)
-    own = F.filter("constant", lambda x: _token(x["at"]) == x["token"])
-    found = members.join(_constants(members).hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.length("tokens") / 4)
+    own = F.filter("constant", lambda x: F.get("tokens", x["at"]) == x["token"])
+    found = members.join(_constants(members).hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
     templates = materialize(found.select("key", F.xxhash64("leaf", "own").alias("template")), "op9-templates")
     held = lines.where("fresh").select("id", "h", "key").join(templates.hint("merge"), "key")
     copies = held.groupBy("template", "id", "h", "key").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
