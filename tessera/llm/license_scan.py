@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, table, text_or_empty
+from tessera.llm.common import materialize, release, table, text_or_empty
 
 # The phrases and labels of the contract.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -133,11 +133,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             stands = F.coalesce(F.array_max(F.transform(F.filter("judged", among(notice)), lambda x: x["weight"])), F.lit(0.0))
             own = (total[t] + stands) / F.lit(total[t] + total[notice[0]]) if notice else F.lit(1.0)
             scores.append(F.when(F.exists("verified", among([t])), own).otherwise(0.0))
-    return rows.select(
+    # A table of its own: a filter on it must not repeat the steps above for every hit.
+    found = rows.select(
         "doc_id", "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"), F.array_min("base.at").cast("long").alias("first_word"), F.array_max("base.at").cast("long").alias("last_word"),
         F.array_join(names("base"), ",").alias("base_labels"), F.array_join(names("verified"), ",").alias("labels"), F.round(F.greatest(*scores), 6).alias("score"),
         F.transform("verified", lambda x: F.struct(F.get(label_of, x["t"]).alias("label"), x["at"].cast("long").alias("at"))).alias("places"),
     )
+    found = materialize(found, "op3-found")
+    release(pages)
+    return found
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
