@@ -355,6 +355,22 @@ def q_nms(spark, d):
     return spatial.suppress(pts(spark, d), 30.0, [(-F.col("score")).alias("s"), F.col("id").alias("k")]).select("id", "x", "y")
 
 
+@query(f"with {PTS} select count(*) as points, cast(0 as bigint) as conflicts, cast(0 as bigint) as unexplained from pts")
+def q_nms_conflicts(spark, d):
+    """That the kept points are those of a scan in rank order: no two of them are near each other, and each point that went is
+    near a better one that was kept. Only one set of points has both."""
+    from tessera.operators.state import materialize
+
+    p = pts(spark, d).select("id", "x", "y", "score")
+    marked = p.join(materialize(q_nms(spark, d).select("id", F.lit(1).alias("kept")), "kept"), "id", "left").fillna(0, ["kept"])
+    marked = materialize(marked, "marked")
+    side = lambda c: marked.select(F.col("id").alias(c), F.col("score").alias(f"s{c}"), F.col("kept").alias(f"k{c}"))
+    near = spatial.grid_join(p, p, 30.0).where("i != j and dist < 30").join(side("i"), "i").join(side("j"), "j").where("kj = 1")
+    told = near.groupBy("i").agg(F.max("ki").alias("both"), F.max((F.col("sj") > F.col("si")) | ((F.col("sj") == F.col("si")) & (F.col("j") < F.col("i")))).alias("better"))
+    out = marked.join(told, marked.id == told.i, "left")
+    return out.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.coalesce(F.col("both"), F.lit(0)) == 1).alias("conflicts"), F.count_if((F.col("kept") == 0) & ~F.coalesce("better", F.lit(False))).alias("unexplained"))
+
+
 @query(f"with {PTS} select id, x, y, score from pts where id % 3 = 0 union all select id, x, y, score from pts where id % 3 > 0")
 def q_union_tiles(spark, d):
     p = pts(spark, d).select("id", "x", "y", "score")
