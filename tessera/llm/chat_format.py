@@ -13,8 +13,8 @@ The loss mask is a list of byte spans of the formatted text: the contents of the
 
 Defined results: null text and role count as empty; rows with a null conv_id are one conversation; turns
 with equal numbers are ordered by role and then text, nulls first; repeated rows stay; an empty table
-gives an empty result. A conversation is one output string and so is put together in one task; parts of
-it are never gathered further.
+gives an empty result; other columns, whatever their names, are ignored. A conversation is one output
+string and so is put together in one task; parts of it are never gathered further.
 """
 
 from __future__ import annotations
