@@ -130,8 +130,9 @@ def _generalised(lines: DataFrame, min_docs: int) -> DataFrame:
     own = F.filter("constant", lambda x: F.get("tokens", x["at"]) == x["token"])
     found = members.join(_constants(members).hint("merge"), "leaf").withColumn("own", own).where(F.size("own") > CONSTANT * F.size("tokens"))
     templates = materialize(found.select("key", F.xxhash64("leaf", "own").alias("template")), "op9-templates")
-    held = lines.where("fresh").select("id", "h", "key").join(templates.hint("merge"), "key")
-    copies = held.groupBy("template", "id", "h", "key").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
+    # The key's hash in place of the key: what follows is dealt anew, so that the join can split the lines of a frequent key.
+    held = lines.where("fresh").select("id", "h", "key").join(templates.hint("merge"), "key").select("template", "id", "h", F.xxhash64("key").alias("own"))
+    copies = held.groupBy("template", "id", "h", "own").count().groupBy("template", "id", "h").agg(F.max("count").alias("n"))  # rows that are repeated
     recurring = copies.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template")
     return templates.join(recurring.hint("merge"), "template").select("key")
 
