@@ -270,6 +270,50 @@ def test_unseeded_junk_hosts_are_blocked(spark):
     assert {r.verdict for r in url_filter.url_filter(pages.where("page_id < 900")).collect()} == {"allow"}
 
 
+def test_every_url_trains_in_whole(spark, monkeypatch):
+    """More URLs than a sample would hold, and a long one, against models in memory; windows broadcast and joined."""
+    samples, fit = [], url_filter.fitted
+    monkeypatch.setattr(url_filter, "fitted", lambda *both, **how: samples.extend(list(x) for x in both[:2]) or fit(*both, **how, rounds=1))
+    good = [f"http://lib{k % 97}.edu/{k * 37}" for k in range(5500)] + ["http://lib.edu/" + "yz\0é" * 1000]
+    bad = [f"http://casino{k % 89}.edu/{k}" for k in range(300)]
+    paths = [f"http://{name}.com/{path}" for name in ("half", "other") for path in ("en/xyz", "fr/xyz")]  # rules block some of a host
+    urls = good + bad + paths + good[:9]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.score for r in url_filter.url_filter(pages).collect()}
+    accepted, rejected = samples
+    assert sorted(u for u, _ in accepted) == sorted(good + paths[1::2]) and sorted(u for u, _ in rejected) == sorted(bad)
+    models = [url_filter.Markov([u for u, _ in x], np.array([f for _, f in x])) for x in (accepted, rejected)]
+    fold = dict(accepted + rejected)
+    for f in range(url_filter.FOLDS):
+        mine = [k for k, u in enumerate(urls) if fold.get(u) == f]
+        some = [urls[k] for k in mine]
+        want = (models[0].log_likelihoods(some, f) - models[1].log_likelihoods(some, f)) / [len(u) + 1 for u in some]
+        assert np.allclose([got[k] for k in mine], want, rtol=0, atol=1e-8)
+    assert len(got) == len(urls) and all(got[len(urls) - 9 + k] == got[k] for k in range(9))
+    for cache in (0, 500):
+        assert {r.page_id: r.score for r in url_filter.url_filter(pages, cache=cache).collect()} == got
+
+
+def test_url_pieces_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(url_filter, "SLICE", 7)
+    urls = ["", "a", "\0\0", "abcdefghijklmnopqrstuvwxyz" * 3, "bé\U0001f600"]
+    for order in (0, 1, 5):
+        got = []
+        for some in url_filter._pieces(enumerate(urls), order):
+            chars, _, of = url_filter._windows([u for _, u in some], order)
+            got += [(some[i][0], w) for i, w in zip(of, url_filter._strings(chars), strict=True)]
+        padded = ["\x02" * order + u + "\x03" for u in urls]
+        assert got == [(k, p[i : i + order + 1]) for k, p in enumerate(padded) for i in range(len(p) - order)]
+
+
+def test_middle_of_all_scores(spark):
+    rng = random.Random(8)
+    for n, m in ((1, 2), (400, 301), (3, 3)):
+        rows = [(False, rng.choice([0.25, rng.uniform(-3, 3)])) for _ in range(n)] + [(True, rng.gauss(-1, 1e-4)) for _ in range(m)]
+        want = sum(np.median([s for b, s in rows if b == bad]) for bad in (False, True)) / 2
+        assert abs(url_filter._middle(spark.createDataFrame(rows, "bad boolean, score double")) - want) <= 2 * url_filter.FINE
+
+
 def plain_lines(texts, min_docs):
     """The template tree on tuples of tokens; kept lines by text."""
     var = lambda w: "\0" if any(c.isdigit() for c in w) else w
